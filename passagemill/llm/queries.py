@@ -23,6 +23,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.same_look import same_looking
+
+    return same_looking(table(spark, sf_dir, "chunks"), ["source", "title"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.leaks import leaked
+
+    found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("run >= 12").select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
