@@ -36,6 +36,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("run >= 12").select("doc_id", "item_id")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.splitting import split_documents
+
+    return split_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
