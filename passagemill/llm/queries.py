@@ -16,6 +16,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "chunks"), threshold=0.7, shingle=1)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.languages import wrong_labels
+
+    return wrong_labels(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_labels"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.vector_join import nearest_vectors
 
