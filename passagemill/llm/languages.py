@@ -26,6 +26,7 @@ LANGUAGES = ("de", "en", "es", "fr", "ru", "uk")
 TRAIN_ROWS = 6_000  #: labelled rows the classifier is fitted on, at most
 BUCKETS = 1 << 15
 DIMENSIONS = 16
+LEAST_WORDS = 6  #: a stretch with fewer words decides nothing on its own
 REJECT = 0.6  #: a sentence whose confidence is lower is undecided
 
 # Names of the languages as labels give them, in lower case.
@@ -39,7 +40,7 @@ NAMES = {
 }
 _BY_NAME = {name: lang for lang, names in NAMES.items() for name in names}
 
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\n+|\s+[/|—–]\s+|(?<=</p>)|(?<=</li>)|(?<=</td>)")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\n\s*\n\s*|\n(?=\s*(?:[-*+#|<]|\d+[.)] ))|\s+[/|—–]\s+|(?<=</p>)|(?<=</li>)|(?<=</td>)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"<[^<>]{1,200}>|https?://\S+|&\w+;|\\[a-z]+")
 
@@ -54,7 +55,7 @@ def label_language(label: str | None) -> str | None:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each stretch between sentence ends, line ends and spaced dashes or slashes."""
+    """Start and end of each stretch between sentence ends, blank lines, lines that begin like list items, and spaced dashes or slashes."""
     out, lo = [], 0
     for m in _SENTENCE.finditer(text):
         if m.start() > lo and text[lo : m.start()].strip():
@@ -116,7 +117,7 @@ class Model:
         return few * p + (1 - few) / len(p)
 
 
-def train(examples: list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
+def train(examples: list[tuple[str, int]], epochs: int | None = None, rate: float = 0.1, seed: int = 5) -> Model:
     """Fit embeddings and softmax on ``(sentence, language number)`` by SGD in small batches; the
     temperature on every tenth example, which is held out."""
     rng, hasher = np.random.default_rng(seed), Hasher()
@@ -128,19 +129,19 @@ def train(examples: list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, s
             ids = np.concatenate(words)
             weight = np.concatenate([np.full(len(w), 1.0 / (len(w) * len(words)), dtype=np.float32) for w in words])
             bags.append((ids, weight, y))
-    embed = (rng.standard_normal((BUCKETS, DIMENSIONS)) / DIMENSIONS).astype(np.float32)
+    embed = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.1).astype(np.float32)
     soft = np.zeros((DIMENSIONS, n_langs), dtype=np.float32)
     bias = np.zeros(n_langs, dtype=np.float32)
+    past_embed, past_soft = np.full(BUCKETS, 1e-6, dtype=np.float32), np.full_like(soft, 1e-6)
     held, fitted = bags[::10], [b for i, b in enumerate(bags) if i % 10]
     if not fitted:
         fitted = held
-    steps, step = max(1, epochs * (-(-len(fitted) // 32))), 0
-    for _ in range(epochs):
+    share = np.bincount([b[2] for b in fitted], minlength=n_langs) / max(1, len(fitted))
+    heft = np.where(share > 0, 1 / np.sqrt(n_langs * np.maximum(share, 1e-3)), 0).astype(np.float32)  # rare languages weigh more
+    for _ in range(epochs or min(6, max(3, 40_000 // max(1, len(fitted))))):
         order = rng.permutation(len(fitted))
         for lo in range(0, len(order), 32):
             batch = [fitted[i] for i in order[lo : lo + 32]]
-            eta = rate * (1 - step / steps)
-            step += 1
             owner = np.repeat(np.arange(len(batch)), [len(b[0]) for b in batch])
             ids, weight = np.concatenate([b[0] for b in batch]), np.concatenate([b[1] for b in batch])
             hidden = np.zeros((len(batch), DIMENSIONS), dtype=np.float32)
@@ -149,13 +150,16 @@ def train(examples: list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, s
             z = np.exp(z - z.max(axis=1, keepdims=True))
             p = z / z.sum(axis=1, keepdims=True)
             y = np.array([b[2] for b in batch])
-            target = np.full_like(p, 0.02 / n_langs)  # labels are partly wrong
-            target[np.arange(len(y)), y] += 0.98
-            grad = p - target
-            back = grad @ soft.T
-            soft -= eta * hidden.T @ grad / len(batch) * 8
-            bias -= eta * grad.mean(axis=0)
-            np.add.at(embed, ids, -eta * 4 * back[owner] * weight[:, None])
+            target = np.full_like(p, 0.05 / n_langs)  # labels are partly wrong
+            target[np.arange(len(y)), y] += 0.95
+            grad = (p - target) * heft[y][:, None] / len(batch)
+            step = (grad @ soft.T)[owner] * weight[:, None]
+            g_soft = hidden.T @ grad
+            past_soft += g_soft**2
+            soft -= rate * g_soft / np.sqrt(past_soft)
+            bias -= 0.1 * rate * grad.sum(axis=0)
+            np.add.at(past_embed, ids, (step**2).mean(axis=1))
+            np.add.at(embed, ids, -rate * step / np.sqrt(past_embed[ids])[:, None])
     model = Model(embed @ soft, bias)
     scores = [(model.table[ids] * weight[:, None]).sum(axis=0) + bias for ids, weight, _ in held]
     if scores:
@@ -184,7 +188,7 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
         lang = label_language(label)
         if lang is not None:
             examples += [(text[a:b], LANGUAGES.index(lang)) for a, b in sentences(text)[:6]]
-    first = train(examples, epochs=3)
+    first = train(examples)
     hasher, cache = Hasher(), {}
     agreed = [(t, y) for t, y in examples if first.probabilities(first.word_rows(hasher, cache, t)).argmax() == y]
     return train(agreed)
@@ -209,7 +213,7 @@ def segments(model: Model, hasher: Hasher, cache: dict, text: str, reject: float
         probs.append(model.probabilities(rows))
         sizes.append(len(rows))
     best = [int(p.argmax()) for p in probs]
-    sure = [p.max() >= reject and n >= 4 for p, n in zip(probs, sizes, strict=True)]
+    sure = [p.max() >= reject and n >= LEAST_WORDS for p, n in zip(probs, sizes, strict=True)]
     total = sum(p * n for p, n in zip(probs, sizes, strict=True)) if any(sizes) else probs[0]
     if not any(sure):
         lang = int(np.argmax(total))
