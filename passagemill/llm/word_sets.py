@@ -22,6 +22,9 @@ from passagemill.llm.common import pick, stored
 
 WORD = re.compile(r"[^\W_]+")
 COMMON_WORDS = 50_000  #: so many of the most frequent elements get their exact rank; the rest count as rare
+BLOCK_ROWS = 16_384  #: the index of an element that more records hold is cut into blocks of about this many
+TILE_CELLS = 500_000
+INDEX, PROBE, BOTH = range(3)
 _HASH_MASK = (1 << 56) - 1
 
 
@@ -88,22 +91,23 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
     frequent = classes.select("set").mapInArrow(counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     top = frequent.orderBy(F.col("n").desc(), "h").limit(COMMON_WORDS).toArrow()
     order = np.argsort(top.column("h").to_numpy())
-    common = df.sparkSession.sparkContext.broadcast((top.column("h").to_numpy()[order], (len(order) - order).astype(np.int64)))
+    often = top.column("n").to_numpy()[order]
+    common = df.sparkSession.sparkContext.broadcast((top.column("h").to_numpy()[order], (len(order) - order).astype(np.int64), -(-often // BLOCK_ROWS)))
 
     def to_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = common.value
+        known, rank, blocks = common.value
         for batch in batches:
             lists = batch.column(1)
             values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ranks, cut = np.zeros(len(values), dtype=np.int64), np.ones(len(values), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                ranks = np.where(known[at] == values, rank[at], 0)
-            else:
-                ranks = np.zeros(len(values), dtype=np.int64)
-            n = np.diff(offsets)
+                hit = known[at] == values
+                ranks[hit], cut[hit] = rank[at[hit]], blocks[at[hit]]
+            n = np.diff(offsets).astype(np.int64)
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((values, ranks, owner))
-            values = values[order]
+            values, cut = values[order], cut[order]
             pos = np.arange(len(values)) - np.repeat(offsets[:-1], n)
             bit = (values ^ (values >> 23)) & 127
             one = np.left_shift(np.int64(1), bit & 63)
@@ -111,25 +115,25 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
             high = np.bitwise_or.reduceat(np.where(bit >= 64, one, 0), offsets[:-1]) if len(n) else np.zeros(0, dtype=np.int64)
             probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
-            keep = pos < probe[owner]
-            who, pos = owner[keep], pos[keep]
-            cols = [values[keep], batch.column(0).to_numpy()[who], n[who].astype(np.int32), pos.astype(np.int32), (pos < index[who]).astype(np.int32), low[who], high[who]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t", "c", "n", "p", "i", "b0", "b1"])
-
-    prefixes = classes.select("class", "set").mapInArrow(to_prefixes, "t bigint, c bigint, n int, p int, i int, b0 bigint, b1 bigint")
-    x, y = prefixes.alias("x"), prefixes.alias("y")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    left = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
-    differ = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
-    met = (
-        (F.col("x.t") == F.col("y.t"))
-        & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.c") < F.col("x.c"))))
-        & (F.col("y.i") + F.col("x.i") * 0 > 0)  # speaks of both sides, so that both read one exchange
-        & (F.col("y.n") >= F.col("x.n") * threshold - 1e-9)
-        & (left >= need)
-        & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
-    )
-    candidates = x.join(y, met).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+            keep = np.flatnonzero(pos < probe[owner])
+            names = batch.column(0).to_numpy()
+            indexed = (pos < index[owner])[keep]
+            # One row in the only block of its element; in a hot element, an index row in the block
+            # of the class and a probe in every block.
+            single, hot = keep[cut[keep] == 1], keep[cut[keep] > 1]
+            home = keep[indexed & (cut[keep] > 1)]
+            many = np.repeat(hot, cut[hot])
+            row = np.concatenate([single, home, many])
+            block = np.concatenate([np.zeros(len(single), dtype=np.int64), names[owner[home]] % cut[home], np.arange(len(many)) - np.repeat(np.cumsum(cut[hot]) - cut[hot], cut[hot])])
+            kind = np.repeat([BOTH, INDEX, PROBE], [len(single), len(home), len(many)])
+            who = owner[row]
+            packed = (n[who] << 32) | (pos[row] << 4) | ((pos[row] < index[who]).astype(np.int64) << 2) | kind
+            cols = [values[row], block.astype(np.int32), packed, names[who], low[who], high[who]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t", "s", "m", "c", "b0", "b1"])
+
+    prefixes = classes.select("class", "set").mapInArrow(to_prefixes, "t bigint, s int, m bigint, c bigint, b0 bigint, b1 bigint")
+    met = prefixes.repartition("t", "s").sortWithinPartitions("t", "s", F.expr("m & 3")).mapInArrow(lambda batches: _meetings(batches, threshold), "a bigint, b bigint")
+    candidates = met.distinct()
     whole = classes.select("class", "set")
     verified = (
         candidates.join(whole.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
@@ -148,6 +152,92 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
     return members, pairs
 
 
+def _passing(x: tuple, y: tuple, threshold: float) -> np.ndarray:
+    """Whether rows ``x`` and ``y`` (size and position, class, bitmaps; broadcast against each
+    other) may be similar: ``y`` is an index row of a class that comes before that of ``x`` by
+    size, and length, positional and suffix filter let the pair through."""
+    (xm, xc, x0, x1), (ym, yc, y0, y1) = x, y
+    nx, ny = xm >> 32, ym >> 32
+    ok = ((ny < nx) | ((ny == nx) & (yc < xc))) & ((ym & 4) > 0) & (ny >= nx * threshold - 1e-9)
+    need = np.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9).astype(np.int64)
+    ok &= np.minimum(nx - ((xm >> 4) & 0xFFFFFFF), ny - ((ym >> 4) & 0xFFFFFFF)) >= need
+    differ = np.bitwise_count(x0 ^ y0).astype(np.int16)
+    differ += np.bitwise_count(x1 ^ y1)
+    return ok & (differ <= nx + ny - 2 * need)
+
+
+def _tile(x: tuple, y: tuple, threshold: float, out: list) -> None:
+    """All passing pairs of a row of ``x`` and one of ``y``, a block of cells at a time."""
+    by_size = np.argsort(y[0] >> 32, kind="stable")
+    y = tuple(c[by_size] for c in y)
+    sizes = y[0] >> 32
+    step = max(1, TILE_CELLS // max(1, len(sizes)))
+    order = np.argsort(x[0] >> 32, kind="stable")
+    for lo in range(0, len(order), step):
+        part = tuple(c[order[lo : lo + step], None] for c in x)
+        a = np.searchsorted(sizes, int(np.floor((part[0][0, 0] >> 32) * threshold - 1e-9)))
+        b = np.searchsorted(sizes, int(part[0][-1, 0] >> 32), side="right")
+        if a < b:
+            i, j = np.nonzero(_passing(part, tuple(c[None, a:b] for c in y), threshold))
+            out.append((part[1][i, 0], y[1][a + j]))
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs from prefix rows sorted by element, block and kind."""
+    near, out = 24, []
+    open_key, index = None, None  # a run that goes on in the next batch
+    names = ("m", "c", "b0", "b1")
+
+    def done(index: tuple | None, out: list) -> None:
+        if index is not None and len(index[1]) > 1 and (index[0][0] & 3) == BOTH:
+            _tile(index, tuple(c[(index[0] & 4) > 0] for c in index), threshold, out)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rows = tuple(batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names)
+        rows = (*rows[:2], rows[2].view(np.uint64), rows[3].view(np.uint64))  # all 64 bits count
+        kind = rows[0] & 3
+        edge = np.flatnonzero((t[1:] != t[:-1]) | (s[1:] != s[:-1])) + 1
+        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(t)]])
+        small = (ends - starts <= near) & (kind[starts] == BOTH)
+        small[[0, -1]] = False
+        inside = np.repeat(small, ends - starts)
+        run = np.repeat(np.arange(len(starts)), ends - starts)
+        for d in range(1, near):
+            i = np.flatnonzero(inside[:-d] & (run[:-d] == run[d:])) if len(run) > d else np.zeros(0, dtype=np.int64)
+            if not len(i):
+                break
+            for x, y in ((i, i + d), (i + d, i)):
+                hit = _passing(tuple(c[x] for c in rows), tuple(c[y] for c in rows), threshold)
+                if hit.any():
+                    out.append((rows[1][x[hit]], rows[1][y[hit]]))
+        for r in np.flatnonzero(~small):
+            lo, hi = starts[r], ends[r]
+            key = (t[lo], s[lo])
+            if key != open_key:
+                done(index, out)
+                open_key, index = key, None
+            held = hi if kind[lo] == BOTH else lo + int((kind[lo:hi] == INDEX).sum())
+            if held > lo:
+                own = tuple(c[lo:held] for c in rows)
+                index = own if index is None else tuple(np.concatenate(z) for z in zip(index, own, strict=True))
+            if held < hi and index is not None:
+                _tile(tuple(c[held:hi] for c in rows), index, threshold, out)
+        if sum(len(x) for x, _ in out) > 50_000:
+            yield _pairs_batch(out)
+            out = []
+    done(index, out)
+    yield _pairs_batch(out)
+
+
+def _pairs_batch(out: list) -> pa.RecordBatch:
+    a, b = (np.concatenate([x[j] for x in out]) if out else np.zeros(0, dtype=np.int64) for j in range(2))
+    ab = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """``(id, class, copies, links)``: one row per id and set: its class, how many ids share the
     set, and how many other classes are at least ``threshold`` similar (Jaccard) to it.
