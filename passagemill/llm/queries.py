@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from passagemill.llm.common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.transcripts import speaker_turns
+
+    turns = speaker_turns(table(spark, sf_dir, "sections"), table(spark, sf_dir, "speakers"))
+    return turns.select("parent_id", "turn_no", "speaker_no", "start_second")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.word_sets import near_duplicate_pairs
 
@@ -29,6 +36,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.scans import scan_findings
+
+    return scan_findings(table(spark, sf_dir, "chunks"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.same_look import same_looking
 
