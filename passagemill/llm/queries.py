@@ -29,6 +29,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong_labels(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_labels"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.markup import labelled_blocks
+
+    found = [
+        labelled_blocks(table(spark, sf_dir, tab), key, text).select(F.lit(tab).alias("tab"), F.col("key").alias("record_key"), "block_no", "kind")
+        for tab, key, text in (("chunks", "id", "text"), ("parsed_docs", "source", "markdown"))
+    ]
+    return found[0].unionByName(found[1])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.vector_join import nearest_vectors
 
