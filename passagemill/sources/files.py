@@ -188,7 +188,9 @@ def parsed(files: DataFrame, converter=to_markdown) -> DataFrame:
             out: list[tuple] = []
             for content, suffix in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 try:
-                    out.append((*converter(content or b"", suffix), None))
+                    if content is None:
+                        raise OSError("the file cannot be read")
+                    out.append((*converter(content, suffix), None))
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the job
                     out.append((None, None, f"{type(e).__name__}: {e}"))
             cols = list(zip(*out, strict=True)) or [()] * 3
@@ -200,12 +202,22 @@ def parsed(files: DataFrame, converter=to_markdown) -> DataFrame:
 
 
 def read_files(spark: SparkSession, entries: DataFrame, max_file_size: int) -> DataFrame:
-    """Content of scanned files within the size limit; sizes are tested before anything is read."""
-    paths = [r["path"] for r in entries.where(F.col("size") <= max_file_size).select("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary")
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^file:/*", "/").alias("path"), "content")
+    """``(path, content)`` of scanned files within the size limit; sizes are tested before anything
+    is read.  Files are opened by the executors, which must see the same folder; Spark's own reader
+    would leave out names that begin with an underscore."""
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    with open(path, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], type=pa.binary())], names=["path", "content"])
+
+    wanted = entries.where(F.col("size") <= max_file_size).select("path")
+    return wanted.repartition(F.col("path")).mapInArrow(load, "path string, content binary")
 
 
 def assemble_lines(boxes: Sequence, texts: Sequence[str]) -> str:
