@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import pick
+from passagemill.llm.common import pick, stored
 from passagemill.llm.tagger import Chain
 
 TAGS = ["SPEAKER", "TIME", "ANNOTATION", "FILLER", "SPEECH", "SEPARATOR"]
@@ -334,14 +334,37 @@ def _clean(line: str, said: list[tuple[str, int, int]]) -> str:
     return re.sub(r"\s+([,.;?!…])", r"\1", re.sub(r"^[\s,.;…]+", "", text)).strip()
 
 
+def section_turns(found: list[dict], roster: list[tuple[int, str]]) -> list[dict]:
+    """The turns of one section: spoken utterances in the order of time, each without a label under
+    the speaker before it, joined while the speaker is the same.  Those that open the section
+    without a label are a turn whose speaker is None.
+
+    Windows begin at whole multiples of two minutes, so that marks without the hour never cross one
+    within a section.
+    """
+    turns: list[dict] = []
+    now = None
+    spoken = [u for u in found if u["words"]]
+    for u in sorted(spoken, key=lambda u: (u["hour"] or 0) * 3600 + u["second"]):
+        if u["label"] is not None:
+            now = who_is(u["label"], roster)
+        if turns and turns[-1]["speaker"] == now:
+            turns[-1]["text"] += f" {u['text']}"
+        else:
+            turns.append({"speaker": now, "hour": u["hour"], "second": u["second"], "text": u["text"]})
+    return turns
+
+
 def speaker_turns(sections: DataFrame, speakers: DataFrame) -> DataFrame:
     """``(parent_id, turn_no int, speaker_no int, start_second int, text)``: the turns of every
     transcript section, i.e. of every section but number 0 of the sources in ``speakers``.
 
     Sections with a null body, source or id have no turns; repeated sections count once (of
     different rows with one id, that with the greatest body).  Without a window in ``prefixes``
-    (null or another form) the hour comes from the sections around it.  A section of nothing but
-    sounds has no turns, nor has an empty table.  Columns beside those used are ignored.
+    (null or another form) the hour comes from the nearest section that has one.  A section of
+    nothing but sounds has no turns, nor has an empty table.  Other columns are ignored.
+
+    Bodies are read section by section; only one narrow row a section meets those of its source.
     """
     given = pick(sections, parent_id="parent_id", source="source", section_index="section_index", prefixes="prefixes", body="body")
     given = given.where("parent_id is not null and source is not null and body is not null and section_index > 0")
@@ -356,38 +379,37 @@ def speaker_turns(sections: DataFrame, speakers: DataFrame) -> DataFrame:
         for batch in batches:
             at: list[int] = []
             cols: list[list] = [[], [], [], [], []]
-            bodies, rosters_ = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            for i, (body, roster) in enumerate(zip(bodies, rosters_, strict=True)):
+            for i, (body, roster) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 people = [(r["speaker_no"], r["full_name"]) for r in roster]
-                for n, u in enumerate(utterances(body, people, model)):
+                for n, t in enumerate(section_turns(utterances(body, people, model), people), 1):
                     at.append(i)
-                    who = None if u["label"] is None else who_is(u["label"], people)
-                    for col, v in zip(cols, (n, u["hour"], u["second"], who if u["words"] else None, u["text"] if u["words"] else None), strict=True):
+                    for col, v in zip(cols, (n, t["hour"], t["second"], t["speaker"], t["text"]), strict=True):
                         col.append(v)
             take = pa.array(at, type=pa.int64())
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(take) for j in (0, 1, 2, 4)), *(pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True))], names=["parent_id", "source", "section_index", "window", "seq", "hour", "second", "labelled", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(take) for j in (0, 1, 2, 4)), *(pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True))], names=["parent_id", "source", "section_index", "window", "turn_no", "hour", "second", "speaker_no", "text"])
 
     rows = once.join(rosters, "source").select("parent_id", "source", F.col("section_index").cast("int"), "body", "window", "roster")
-    said = rows.mapInArrow(read, "parent_id string, source string, section_index int, window string, seq int, hour int, second int, labelled int, text string")
+    said = stored(rows.mapInArrow(read, "parent_id string, source string, section_index int, window string, turn_no int, hour int, second int, speaker_no int, text string"), "turns")
+
     clock = F.reverse(F.split("window", ":"))
     start = F.when(F.col("window") != "", F.get(clock, F.lit(0)).cast("int") + 60 * F.get(clock, F.lit(1)).cast("int") + 3600 * F.coalesce(F.get(clock, F.lit(2)).cast("int"), F.lit(0)))
-    base = start - WINDOW_SECONDS * F.col("section_index")
-    by_place = Window.partitionBy("source").orderBy("section_index", "parent_id", "seq")
-    back, ahead = by_place.rowsBetween(Window.unboundedPreceding, 0), by_place.rowsBetween(0, Window.unboundedFollowing)
-    guess = F.coalesce("base_back", "base_ahead") + WINDOW_SECONDS * F.col("section_index") + WINDOW_SECONDS // 2
-    hour = F.coalesce("hour", F.greatest(F.lit(0), F.round((guess - F.col("second")) / 3600)), F.lit(0)).cast("int")
-    timed = (
-        said.withColumn("base", base)
-        .withColumn("base_back", F.last("base", ignorenulls=True).over(back))
-        .withColumn("base_ahead", F.first("base", ignorenulls=True).over(ahead))
-        .withColumn("t", hour * 3600 + F.col("second"))
-        .where("text is not null")
+    # One narrow row a section: when its source began by its window, and who spoke last in it.
+    brief = said.groupBy("parent_id", "source", "section_index").agg(F.first(start - WINDOW_SECONDS * F.col("section_index")).alias("base"), F.max_by("speaker_no", "turn_no").alias("last"))
+    order = Window.partitionBy("source").orderBy("section_index", "parent_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    filled = brief.select(
+        "parent_id",
+        F.coalesce("base", F.last("base", ignorenulls=True).over(before), F.first("base", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))).alias("base"),
+        F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(0)).alias("carried"),
     )
-    by_time = Window.partitionBy("source").orderBy("section_index", "parent_id", "t", "seq")
-    in_section = Window.partitionBy("source", "section_index", "parent_id").orderBy("t", "seq")
-    spoken = timed.withColumn("speaker_no", F.coalesce(F.last("labelled", ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    new = F.when(F.lag("speaker_no").over(in_section) == F.col("speaker_no"), 0).otherwise(1)
-    turns = spoken.withColumn("new", new).withColumn("turn_no", F.sum("new").over(in_section.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", "seq", "text"))), lambda x: x["text"]), " ")
-    return turns.groupBy("parent_id", "turn_no").agg(F.first("speaker_no").alias("speaker_no"), F.min("t").alias("start_second"), text.alias("text"))
+    guess = F.col("base") + WINDOW_SECONDS * F.col("section_index") + WINDOW_SECONDS // 2
+    hour = F.coalesce("hour", F.greatest(F.lit(0), F.round((guess - F.col("second")) / 3600)), F.lit(0)).cast("int")
+    known = said.join(filled, "parent_id").withColumn("start_second", hour * 3600 + F.col("second")).withColumn("speaker_no", F.coalesce("speaker_no", "carried"))
+    # A carried speaker may be that of the second turn, which is then the same turn.
+    opening = F.max_by("speaker_no", F.when(F.col("turn_no") <= 2, -F.col("turn_no")))
+    second = F.max(F.when(F.col("turn_no") == 2, F.col("speaker_no")))
+    same = known.where("turn_no <= 2").groupBy("parent_id").agg(opening.alias("x"), second.alias("y")).where("x = y").select("parent_id", F.lit(1).alias("less"))
+    numbered = known.join(same, "parent_id", "left").withColumn("turn_no", F.greatest(F.lit(1), F.col("turn_no") - F.coalesce("less", F.lit(0))))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_second", "text"))), lambda x: x["text"]), " ")
+    return numbered.groupBy("parent_id", "turn_no").agg(F.first("speaker_no").alias("speaker_no"), F.min("start_second").alias("start_second"), text.alias("text"))
