@@ -156,10 +156,10 @@ class Engine:
         return navigate.neighbours(self.store.read(), anchor, before, after).orderBy("chunk_index")
 
     def read_document(self, source: str) -> str:
-        found = navigate.documents(self.store.read().where(F.col("source") == source)).collect()
+        found = navigate.document_parts(self.store.read().where(F.col("source") == source)).orderBy("first").collect()
         if not found:
             raise KeyError(f"not in the index: {source}")
-        return found[0]["text"]
+        return "\n\n".join(r["text"] for r in found)
 
     def list_files(self, scope: str | None = None) -> DataFrame:
         scopes = [os.path.realpath(scope)] if scope else None

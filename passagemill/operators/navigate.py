@@ -67,14 +67,17 @@ def parent_texts(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     return _fold(chunks.join(wanted, "parent_id", "left_semi"), ["parent_id"])
 
 
-def documents(chunks: DataFrame) -> DataFrame:
-    """``(source, text)``: every document from its passages: runs of one parent are rebuilt, and
-    stand one blank line apart.  Passages without a parent stay by themselves."""
-    order = Window.partitionBy("source").orderBy("chunk_index", "id")
-    new = F.when((F.col("parent_id") != "") & (F.col("parent_id") == F.lag("parent_id").over(order)), 0).otherwise(1)
-    runs = chunks.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = _fold(runs, ["source", "run"]).where("text <> ''")
-    return parts.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+def document_parts(chunks: DataFrame) -> DataFrame:
+    """``(source, first, text)``: the rebuilt sections of every document, in the order of ``first``,
+    the index of their first passage.  A document is its parts with a blank line between them.
+
+    A parent's passages follow each other, so they are one part; passages without a parent stay by
+    themselves.  The groups are sections, whose size is capped, never whole sources.
+    """
+    part = F.when(F.col("parent_id") != "", F.col("parent_id")).otherwise(F.concat(F.lit("#"), F.col("id")))
+    rows = chunks.withColumn("part", part)
+    first = rows.groupBy("source", "part").agg(F.min("chunk_index").alias("first"))
+    return _fold(rows, ["source", "part"]).join(first, ["source", "part"]).where("text <> ''").select("source", "first", "text")
 
 
 def hit_sources(hits: DataFrame) -> DataFrame:

@@ -160,8 +160,8 @@ def parent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.documents(chunks(spark, sf_dir))
+def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.document_parts(chunks(spark, sf_dir))
 
 
 # ---- passages -------------------------------------------------------------------------------------

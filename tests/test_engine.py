@@ -109,8 +109,8 @@ def test_rollups(spark):
     got = sorted((r["anchor"], r["chunk_index"]) for r in navigate.neighbours(now, anchor, 2, 2).collect())
     assert got == [(0, 0), (0, 1), (0, 2), *[(15, i) for i in range(13, 18)]]
     assert navigate.parent_texts(now, now).count() == 3
-    whole = {r["source"]: r["text"] for r in navigate.documents(now).collect()}
-    assert whole["s"].count("p0") == 1 and whole["e"] == "alone"
+    whole = {(r["source"], r["first"]): r["text"] for r in navigate.document_parts(now).collect()}
+    assert sorted(whole) == [("e", 0), ("s", 0), ("s", 10), ("s", 20)] and whole["s", 0].count("p0") == 1 and whole["e", 0] == "alone"
     assert navigate.counts(now).first()["stale"] == 1
 
 
