@@ -1,10 +1,14 @@
 """A linear-chain conditional model over sequences of feature sets: averaged perceptron training,
-Viterbi decoding.  Small and without dependencies, for models that are trained where they run."""
+Viterbi decoding.  Small and without dependencies, for models that are trained where they run.
+
+An item is a list of feature strings, or a key that ``expand`` turns into one; scores of keys are
+remembered, so that equal items are scored once."""
 
 from __future__ import annotations
 
 import random
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 
@@ -12,21 +16,33 @@ import numpy as np
 class Chain:
     """Labels for sequences whose items are lists of feature strings."""
 
-    def __init__(self, labels: list[str]):
-        self.labels = labels
+    def __init__(self, labels: list[str], expand: Callable | None = None):
+        self.labels, self.expand = labels, expand
+        self.known: dict = {}
         self.rows: dict[str, np.ndarray] = {}
         self.moves = np.zeros((len(labels) + 1, len(labels)))  # the last row is the start
 
-    def scores(self, items: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(items), len(self.labels)))
-        get = self.rows.get
-        for i, features in enumerate(items):
-            for f in features:
-                row = get(f)
-                if row is not None:
-                    out[i] += row
+    def _score(self, features: list[str]) -> np.ndarray:
+        out = np.zeros(len(self.labels))
+        for f in features:
+            row = self.rows.get(f)
+            if row is not None:
+                out += row
         return out
 
+    def scores(self, items: list) -> np.ndarray:
+        if self.expand is None:
+            return np.array([self._score(x) for x in items])
+        out = []
+        for key in items:
+            row = self.known.get(key)
+            if row is None:
+                row = self._score(self.expand(key))
+                if len(self.known) < 200_000:
+                    self.known[key] = row
+            out.append(row)
+        return np.array(out)
+
     def best(self, items: list[list[str]]) -> list[int]:
         """The label numbers of the best path (Viterbi)."""
         if not items:
@@ -48,6 +64,9 @@ class Chain:
 
     def train(self, examples: list[tuple[list[list[str]], list[str]]], epochs: int = 5, seed: int = 1) -> Chain:
         """Fit on ``(items, labels)`` pairs by the averaged structured perceptron."""
+        expand, self.expand = self.expand, None
+        if expand is not None:
+            examples = [([expand(x) for x in items], labels) for items, labels in examples]
         number = {x: i for i, x in enumerate(self.labels)}
         n = len(self.labels)
         total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
@@ -80,4 +99,5 @@ class Chain:
         for f, row in self.rows.items():
             self.rows[f] = row - total[f] / step
         self.moves = self.moves - total_moves / step
+        self.expand = expand
         return self

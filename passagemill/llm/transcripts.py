@@ -52,8 +52,8 @@ def _sound(t: str) -> bool:
     return len(t) <= 6 and (letters <= set("euhmräöain") or letters <= set("эехмгаын")) and len(letters) <= 3
 
 
-def features(line: str, before: str, roster: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[list[str]]]:
-    """Tokens of a line and the features of each.  ``before``: what the line above was (``none``,
+def features(line: str, before: str, roster: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[tuple]]:
+    """Tokens of a line and, for each, the key of its features.  ``before``: what the line above was (``none``,
     ``blank``, ``time`` for a line of nothing but times, ``text``)."""
     toks = tokens(line)
     shapes = [_shape(t) for t, _, _ in toks]
@@ -84,37 +84,42 @@ def features(line: str, before: str, roster: frozenset[str]) -> tuple[list[tuple
                 depth = ""
         else:
             inside.append(("", -1))
+    near_dash = first_time < 9 and len(dashes) > 0 and dashes[0] < 9
+    two = dashes[:2]
     out = []
     for i, (t, _, _) in enumerate(toks):
         low = t.lower()
-        zone = inside[i][0]
-        f = [
-            "b",
-            f"s={shapes[i]}",
-            f"in={zone}",
-            f"in={zone}|s={shapes[i][:3]}",
-            f"lead={lead}|time{'<' if i < first_time else '=' if i in times else '>'}|s={shapes[i][:2]}",
-            f"before={before}|lead={lead}|colon{'>' if i < colon else '=' if i == colon else '<'}|{times != []}",
-            f"colon{'>' if i < colon else '=' if i == colon else '<'}|s={shapes[i][:2]}|name={low in roster}",
-            f"tag{'>' if i < tag_end else '=' if i == tag_end else '<'}|{lead}",
-            f"bold{'>' if i < bold_end else '=' if i == bold_end else '<'}|{lead}",
-            f"name={low in roster}|pos={min(i, 3)}|lead={lead}",
-            f"prev={shapes[i - 1][:3] if i else 'start'}|s={shapes[i][:3]}",
-            f"next={shapes[i + 1][:3] if i + 1 < len(toks) else 'end'}|s={shapes[i][:3]}",
-            f"dash{'<' if dashes and i < dashes[0] else '=' if i in dashes[:2] else '>' if len(dashes) > 1 and dashes[0] < i < dashes[1] else '|'}|{first_time < 9 and len(dashes) > 0 and dashes[0] < 9}",
-            f"words={min(words, 2)}|lead={lead}|s={shapes[i][:2]}",
-            f"timezone={'in' if first_time <= i <= last_time else 'out'}|s={shapes[i][:2]}|pos={min(i, 2)}",
-        ]
-        if low in _FILLERS:
-            f += ["filler", f"filler|in={zone}"]
-        elif _sound(t):
-            f.append("sound")
-        if lead == "dashes":
-            f.append(f"dashed|{shapes[i][:2]}")
-        out.append(f)
+        dash = "<" if dashes and i < dashes[0] else "=" if i in two else ">" if len(dashes) > 1 and dashes[0] < i < dashes[1] else "|"
+        out.append(
+            (
+                shapes[i], inside[i][0], lead, _side(i, first_time) if i not in times else "=", before, _side(i, colon), times != [], low in roster, _side(i, tag_end), _side(i, bold_end),
+                min(i, 3), shapes[i - 1][:3] if i else "start", shapes[i + 1][:3] if i + 1 < len(toks) else "end", dash, near_dash, min(words, 2), first_time <= i <= last_time, "filler" if low in _FILLERS else "sound" if _sound(t) else "",
+            )
+        )
     return toks, out
 
 
+def _side(i: int, at: int) -> str:
+    return "<" if i < at else "=" if i == at else ">"
+
+
+def expand(key: tuple) -> list[str]:
+    """The features of a token from what :func:`features` saw of it."""
+    shape, zone, lead, time, before, colon, timed, name, tag, bold, pos, prev, after, dash, near_dash, words, in_time, sound = key
+    out = [
+        "b", f"s={shape}", f"in={zone}", f"in={zone}|s={shape[:3]}", f"lead={lead}|time{time}|s={shape[:2]}", f"before={before}|lead={lead}|colon{colon}|{timed}", f"colon{colon}|s={shape[:2]}|name={name}",
+        f"tag{tag}|{lead}", f"bold{bold}|{lead}", f"name={name}|pos={pos}|lead={lead}", f"prev={prev}|s={shape[:3]}", f"next={after}|s={shape[:3]}", f"dash{dash}|{near_dash}", f"words={words}|lead={lead}|s={shape[:2]}",
+        f"timezone={in_time}|s={shape[:2]}|pos={min(pos, 2)}",
+    ]
+    if sound == "filler":
+        out += ["filler", f"filler|in={zone}"]
+    elif sound:
+        out.append("sound")
+    if lead == "dashes":
+        out.append(f"dashed|{shape[:2]}")
+    return out
+
+
 _FILLERS = frozenset(FILLERS)
 
 
@@ -220,7 +225,7 @@ def trained() -> Chain:
             tags = [next((tag for a, b, tag in spans if a <= start < b), "SEPARATOR") for _, start, _ in toks]
             if toks:
                 examples.append((items, tags))
-    return Chain(TAGS).train(examples, epochs=6)
+    return Chain(TAGS, expand).train(examples, epochs=6)
 
 
 # ---- speakers ---------------------------------------------------------------------------------
