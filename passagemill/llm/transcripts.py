@@ -37,6 +37,7 @@ def tokens(line: str) -> list[tuple[str, int, int]]:
     return [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(line) if not m.group().isspace()]
 
 
+@lru_cache(maxsize=50_000)
 def _shape(t: str) -> str:
     if _TIME.match(t):
         return "time"
@@ -47,6 +48,7 @@ def _shape(t: str) -> str:
     return t
 
 
+@lru_cache(maxsize=50_000)
 def _sound(t: str) -> bool:
     letters = set(t.lower().replace("-", ""))
     return len(t) <= 6 and (letters <= set("euhmräöain") or letters <= set("эехмгаын")) and len(letters) <= 3

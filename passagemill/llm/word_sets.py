@@ -53,6 +53,9 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
 
     Rows with a null id or text, or without any word, belong to no class.  Rows that repeat an id
     with the same set count once; an id with different texts is a member of several classes.
+
+    A class is 63 bits of a hash of its set.  Members are never gathered: copies are counted and
+    joined as rows, however many share a class.
     """
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,24 +74,23 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
                 if hashes:
                     row = np.unique(np.array(hashes, dtype=np.int64))
                     ids.append(key)
-                    names.append(xxhash.xxh3_128_digest(row.tobytes()))
+                    names.append(xxhash.xxh3_64_intdigest(row.tobytes()) >> 1)
                     values.append(row)
                     offsets.append(offsets[-1] + len(row))
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(names, type=pa.binary()), lists], names=["id", "name", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(names, type=pa.int64()), lists], names=["id", "class", "set"])
 
     rows = pick(df, id=id_col, text=text_col).where("id is not null and text is not null")
-    sets = rows.select(F.col("id").cast("string"), "text").mapInArrow(to_sets, "id string, name binary, set array<bigint>")
-    grouped = sets.groupBy("name").agg(F.first("set").alias("set"), F.collect_set("id").alias("ids"))
-    classes = stored(grouped.withColumn("class", F.monotonically_increasing_id()), "word-sets")
-    members = classes.select(F.explode("ids").alias("id"), "class")
+    sets = stored(rows.select(F.col("id").cast("string"), "text").mapInArrow(to_sets, "id string, class bigint, set array<bigint>"), "word-sets")
+    members = sets.select("id", "class").distinct()
+    classes = sets.groupBy("class").agg(F.first("set").alias("set"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    frequent = classes.select("set").mapInArrow(counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    frequent = sets.select("set").mapInArrow(counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     top = frequent.orderBy(F.col("n").desc(), "h").limit(COMMON_WORDS).toArrow()
     order = np.argsort(top.column("h").to_numpy())
     often = top.column("n").to_numpy()[order]
