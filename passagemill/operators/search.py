@@ -50,7 +50,7 @@ def vector_search(chunks: DataFrame, queries: DataFrame, fetch: int, scopes: lis
     met = rows.join(bounded(queries.select("query_id", F.col("vector").alias("q"))), F.size("vector") == F.size("q"))
     scored = met.select("query_id", "id", squared_l2(F.col("vector"), F.col("q")).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("vec_rank", F.row_number().over(order) - 1).where(F.col("vec_rank") < fetch)
+    return scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch).withColumn("vec_rank", F.col("n") - 1).drop("n")
 
 
 def postings(chunks: DataFrame, field: str) -> DataFrame:
@@ -68,12 +68,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, field: str, scopes: list[str] |
     wanted = bounded(queries).select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     vocabulary = F.broadcast(wanted.select("term").distinct())
     said = chunks.select("id", "source", terms(F.coalesce(F.col(field), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
-    totals = said.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    totals = said.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()  # a subquery of one row
     hits = said.select("id", "source", "dl", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("id", "source", "term", "dl").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.where(in_scope(F.col("source"), scopes)).join(F.broadcast(df), "term").join(F.broadcast(totals)).join(F.broadcast(wanted), "term")
+    # Both sides have at most one row a term of the checked queries.
+    scored = hits.where(in_scope(F.col("source"), scopes)).join(F.broadcast(df), "term").join(F.broadcast(wanted), "term").withColumn("t", totals).select("*", "t.*")
     return scored.withColumn("part", part).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
@@ -82,7 +83,7 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, fetch: int, scopes: li
     both = bm25(chunks, queries, "text", scopes).unionByName(bm25(chunks, queries, "title", scopes))
     best = both.groupBy("query_id", "id").agg(F.max("score").alias("bm25"))
     order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "id")
-    return best.withColumn("key_rank", F.row_number().over(order) - 1).where(F.col("key_rank") < fetch)
+    return best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch).withColumn("key_rank", F.col("n") - 1).drop("n")
 
 
 def fuse(vectors: DataFrame, keywords: DataFrame | None, weight: float) -> DataFrame:

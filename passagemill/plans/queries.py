@@ -78,9 +78,9 @@ FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"""
 )
 def vector_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    first = F.broadcast(rows.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
+    first = rows.where("vec_id = 0").agg(F.first("embedding").alias("q")).scalar()
     v, q = F.col("embedding"), F.col("q")
-    return rows.join(first).select("vec_id", F.round(vectors.norm(v), 6).alias("norm"), F.round(vectors.cosine(v, q), 6).alias("cosine"))
+    return rows.withColumn("q", first).select("vec_id", F.round(vectors.norm(v), 6).alias("norm"), F.round(vectors.cosine(v, q), 6).alias("cosine"))
 
 
 @query(
@@ -132,12 +132,12 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH " + CURRENT + """ SELECT source, count(*) AS chunk_count, min(scheme_version) AS scheme_version, arg_min(source_type, (chunk_index, id)) AS source_type, coalesce(arg_min(coalesce(title, chr(0)), (chunk_index, id)), '') AS title,
+    "WITH " + CURRENT + """ SELECT source, count(*) AS chunk_count, min(scheme_version) AS scheme_version, arg_min(source_type, (chunk_index, id)) AS source_type, arg_min(coalesce(title, ''), (chunk_index, id)) AS title,
   coalesce(arg_min(CASE WHEN ocr_engine <> '' THEN ocr_engine END, CASE WHEN ocr_engine <> '' THEN (chunk_index, ocr_engine) END), '') AS ocr_engine FROM cur GROUP BY source"""
 )
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = navigate.list_sources(chunks(spark, sf_dir))
-    return rolled.select("source", "chunk_count", "scheme_version", "source_type", F.coalesce("title", F.lit("\0")).alias("title"), "ocr_engine")
+    return rolled.select("source", "chunk_count", "scheme_version", "source_type", F.coalesce("title", F.lit("")).alias("title"), "ocr_engine")
 
 
 @query("WITH " + CURRENT + " SELECT count(*) AS chunks, count(DISTINCT source) AS sources, CAST(sum(CASE WHEN scheme_version < 3 THEN 1 ELSE 0 END) AS BIGINT) AS stale FROM cur")
@@ -174,6 +174,16 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_stage(made).where("error is null").drop("error")
 
 
+@query()
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of the index: cut, numbered and embedded."""
+    docs = table(spark, sf_dir, "parsed_docs").dropDuplicates(["source"])
+    title = titles.file_title(F.when(F.col("has_title"), F.col("title")), F.col("markdown"), F.col("source"))
+    made = passage_stage(docs.select("source", title.alias("title"), F.lit(True).alias("seed_title"), titles.strip_data_images(F.col("markdown")).alias("markdown")))
+    vector = F.transform(vectors.hash_embedding(F.col("text")), lambda x: F.round(x, 6))
+    return made.where("error is null").select(F.concat_ws("#", "source", "chunk_index").alias("id"), "source", "title", "chunk_index", "text", vector.alias("vector"), "parent_id")
+
+
 @query()
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.plans.passages import detect_category
@@ -218,10 +228,10 @@ def _asked(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("id") % 50 == 0) & F.col("vector").isNotNull()).select(F.col("id").alias("query_id"), words.alias("text"), "vector")
 
 
-_VECTOR = """p AS (SELECT d.doc_id AS id, d.source, d.title, d.text, e.embedding AS vector FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
-q AS (SELECT id AS query_id, vector AS qv, array_to_string(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 6), ' ') AS qt FROM p WHERE id % 50 = 0 AND vector IS NOT NULL),
+_VECTOR = r"""p AS (SELECT d.doc_id AS id, d.source, d.title, d.text, e.embedding AS vector FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+q AS (SELECT id AS query_id, vector AS qv, array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 6), ' ') AS qt FROM p WHERE id % 50 = 0 AND vector IS NOT NULL),
 v AS (SELECT * FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS vec_rank FROM (
-  SELECT query_id, id, list_sum(list_transform(list_zip(vector, qv), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance FROM p, q WHERE vector IS NOT NULL)) WHERE vec_rank < {n})""".replace("\\\\", "\\")
+  SELECT query_id, id, list_sum(list_transform(list_zip(vector, qv), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance FROM p, q WHERE vector IS NOT NULL)) WHERE vec_rank < {n})"""
 _KEYWORD = r"""w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(qt, '[\p{L}\p{N}]+')) AS term FROM q),
 f AS (SELECT id, 'text' AS field, coalesce(text, '') AS said FROM p UNION ALL SELECT id, 'title', coalesce(title, '') FROM p),
 t AS (SELECT id, field, regexp_extract_all(lower(said), '[\p{L}\p{N}]+') AS terms FROM f),
@@ -242,6 +252,14 @@ def _fused_sql(weight: float, top_k: int) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+@query(
+    r"""SELECT id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT doc_id AS id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)) GROUP BY id, term"""
+)
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    return search.postings(rows, "text").withColumn("dl", F.col("dl").cast("bigint"))
+
+
 @query("WITH " + _VECTOR.replace("{n}", "50") + " SELECT query_id, id, round(distance, 6) AS distance, vec_rank FROM v")
 def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir)
@@ -267,6 +285,12 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.search(rows, _asked(rows)))
 
 
+@query(_fused_sql(0.6, 8).replace("FROM p, q WHERE vector IS NOT NULL", "FROM p, q WHERE vector IS NOT NULL AND (source = '/corpus/en' OR starts_with(source, '/corpus/en/'))").replace("JOIN w USING (term) GROUP BY", "JOIN w USING (term) JOIN p USING (id) WHERE (p.source = '/corpus/en' OR starts_with(p.source, '/corpus/en/')) GROUP BY") + _TOP)
+def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir)
+    return _shown(search.search(rows, _asked(rows), scopes=["/corpus/en/"]))
+
+
 @query(_fused_sql(1.0, 8) + _TOP)
 def search_keywords_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir)

@@ -90,3 +90,9 @@ def test_scope_is_pushed_to_the_scan(spark, tmp_path, chunks):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = spark.read.parquet(str(tmp_path / "c")).where(S.in_scope(F.col("source"), ["/near.md", "/x"])).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(source,/x/)" in plan and "vector" not in plan.split("ReadSchema")[-1]
+
+
+def test_only_the_best_of_a_task_are_shuffled(chunks, asked):
+    plan = S.vector_search(chunks, asked, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+    assert "WindowGroupLimit" in S.keyword_search(chunks, asked, 50)._jdf.queryExecution().executedPlan().toString()
