@@ -56,6 +56,15 @@ def test_equal_vectors_go_to_the_smaller_id(spark):
         assert pairs(vector_join.nearest_vectors(table(spark, ids, rows), k=5, block_rows=block)) == brute(ids, rows, 5)
 
 
+def test_many_copies_are_thinned_out(spark):
+    rng = np.random.default_rng(6)
+    rows = np.vstack([np.tile(rng.standard_normal((1, DIM)), (300, 1)), rng.standard_normal((60, DIM))]).astype(np.float32)
+    rows[300:330] = rows[0] * 2  # as near, in double precision, as the copies
+    ids = [f"h{i:03}" for i in rng.permutation(len(rows))]
+    df = table(spark, ids, rows)
+    assert pairs(vector_join.nearest_vectors(df.unionAll(df.limit(50)), k=5, block_rows=64)) == brute(ids, rows, 5)
+
+
 def test_unusable_vectors_take_no_part(spark):
     good = [1.0] + [0.0] * 63
     rows = [("a", good), ("a", good), ("b", [0.0] * 64), ("c", None), ("d", [1.0] * 32), (None, good), ("f", [float("nan")] + good[1:]), ("g", [2.0] + [0.0] * 63)]
