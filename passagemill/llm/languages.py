@@ -26,7 +26,7 @@ LANGUAGES = ("de", "en", "es", "fr", "ru", "uk")
 TRAIN_ROWS = 6_000  #: labelled rows the classifier is fitted on, at most
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-LEAST_WORDS = 6  #: a stretch with fewer words decides nothing on its own
+LEAST_WORDS = 10  #: a stretch with fewer words (names, file names, codes in a frame of words) decides nothing on its own
 REJECT = 0.6  #: a sentence whose confidence is lower is undecided
 
 # Names of the languages as labels give them, in lower case.
