@@ -32,26 +32,52 @@ _BREAKS = (
 
 def units(text: str, count, room: int) -> list[tuple[int, int, int, int]]:
     """``(start, end, tokens, level)``: consecutive slices of ``text`` of at most ``room`` tokens
-    each, cut at the coarsest separators that allow it; ``level`` is that of the cut before."""
+    each, cut at the coarsest separators that allow it; ``level`` is that of the cut before.
+
+    Every sentence is counted once; what is made of several has the sum of their counts.
+    """
+    level_at: dict[int, int] = {}
+    for level, pattern in _BREAKS[:WORD]:
+        for m in pattern.finditer(text):
+            at = m.end() if level else m.start() + 1
+            if 0 < at < len(text):
+                level_at.setdefault(at, level)
+    edges = [0, *sorted(level_at), len(text)]
+    # A space counts with the word after it, as in the whole text, so that the counts add up.
+    counted = [0, *(e - (text[e - 1] == " ") for e in edges[1:-1]), len(text)]
+    sizes = [count(text[x:y]) if y - x <= 40 * room else room + 1 for x, y in zip(counted[:-1], counted[1:], strict=True)]
+    total = [0]
+    for n in sizes:
+        total.append(total[-1] + n)
     out: list[tuple[int, int, int, int]] = []
-    todo = [(0, len(text), SECTION, SECTION)]
+    todo = [(0, len(sizes), SECTION, SECTION)]
     while todo:
-        lo, hi, level, cut = todo.pop()
-        part = text[lo:hi]
-        size = count(part) if len(part) <= 40 * room else room + 1
-        if size <= room or hi - lo == 1:
-            out.append((lo, hi, size, cut))
-            continue
-        if level >= CHARACTER:
-            step = max(1, min(room // 4, (hi - lo + 1) // 2))
-            todo += [(x, min(hi, x + step), CHARACTER, CHARACTER if x > lo else cut) for x in range(lo, hi, step)][::-1]
-            continue
-        if level < WORD:
-            cuts = [m.end() if level else m.start() + 1 for m in _BREAKS[level][1].finditer(text, lo, hi)]
+        i, j, level, cut = todo.pop()
+        if total[j] - total[i] <= room:
+            out.append((edges[i], edges[j], total[j] - total[i], cut))
+        elif j - i == 1:
+            out += _finer(text, count, room, edges[i], edges[j], cut)
         else:
-            cuts = [m.start() for m in _BREAKS[level][1].finditer(text, lo, hi)]
-        edges = [lo, *(c for c in cuts if lo < c < hi), hi]
-        todo += [(a, b, level + 1, level if a > lo else cut) for a, b in zip(edges[:-1], edges[1:], strict=True)][::-1]
+            inner = [x for x in range(i + 1, j) if level_at[edges[x]] <= level]
+            bounds = [i, *inner, j]
+            todo += [(x, y, level + 1 if len(bounds) == 2 or y - x > 1 else SENTENCE, cut if x == i else level) for x, y in zip(bounds[:-1], bounds[1:], strict=True)][::-1]
+    return out
+
+
+def _finer(text: str, count, room: int, start: int, end: int, cut: int) -> list[tuple[int, int, int, int]]:
+    """A sentence over the limit as words, and a word over it as runs of characters."""
+    out: list[tuple[int, int, int, int]] = []
+    edges = [start, *(m.start() for m in _BREAKS[WORD][1].finditer(text, start, end) if start < m.start() < end), end]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        todo = [(lo, hi, WORD if lo > start else cut)]
+        while todo:
+            a, b, level = todo.pop()
+            size = count(text[a:b]) if b - a <= 40 * room else room + 1
+            if size <= room or b - a == 1:
+                out.append((a, b, size, level))
+                continue
+            step = max(1, min(room // 4, (b - a + 1) // 2))
+            todo += [(x, min(b, x + step), CHARACTER if x > a else level) for x in range(a, b, step)][::-1]
     return out
 
 
@@ -63,11 +89,13 @@ def pieces(text: str, count, limit: int, overlap: int) -> list[tuple[int, int, i
     """
     if not text:
         return []
-    size = count(text) if len(text) <= 40 * limit else limit + 1
-    if size <= limit:
-        return [(0, len(text), size)]
     overlap = max(0, min(overlap, limit // 2))
-    parts = units(text, count, max(1, limit - overlap))
+    parts = units(text, count, max(1, limit - overlap)) if len(text) > 4 * limit else []
+    if sum(p[2] for p in parts) <= 1.1 * limit:  # else it is over the limit whatever the sum is off by
+        size = count(text)
+        if size <= limit:
+            return [(0, len(text), size)]
+        parts = parts or units(text, count, max(1, limit - overlap))
     out: list[tuple[int, int, int]] = []
     i = 0
     while i < len(parts):
