@@ -15,6 +15,8 @@ from passagemill.functions.vectors import any_of, squared_l2
 RRF_K = 60
 K1, B = 1.2, 0.75
 MAX_QUERIES = 20_000
+MAX_TERMS = 500_000  #: of all queries together
+MAX_HITS = 500_000  #: hits that are broadcast to fetch their rows; beyond, the join shuffles
 DEFAULT_TOP_K, MAX_TOP_K = 8, 100
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -34,12 +36,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def bounded(queries: DataFrame) -> DataFrame:
-    """A query table for broadcasting, after its size was checked."""
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries at once")
-    return F.broadcast(queries)
+def bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """A table of queries or their terms for broadcasting, after its size was checked."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what} at once")
+    return F.broadcast(rows)
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, fetch: int, scopes: list[str] | None = None) -> DataFrame:
@@ -47,7 +48,7 @@ def vector_search(chunks: DataFrame, queries: DataFrame, fetch: int, scopes: lis
     L2, ranks from 0, ties by id.  The queries are stated rows against all rows, kept per task by
     ``WindowGroupLimit`` before anything is shuffled."""
     rows = chunks.where(in_scope(F.col("source"), scopes) & F.col("vector").isNotNull()).select("id", "vector")
-    met = rows.join(bounded(queries.select("query_id", F.col("vector").alias("q"))), F.size("vector") == F.size("q"))
+    met = rows.join(bounded(queries.select("query_id", F.col("vector").alias("q")), MAX_QUERIES, "queries"), F.size("vector") == F.size("q"))
     scored = met.select("query_id", "id", squared_l2(F.col("vector"), F.col("q")).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch).withColumn("vec_rank", F.col("n") - 1).drop("n")
@@ -65,7 +66,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, field: str, scopes: list[str] |
     Statistics are global.  Only postings of the queries' terms are kept, before the first shuffle:
     the wanted terms are a bounded table, joined by broadcast on the exploded terms.
     """
-    wanted = bounded(queries).select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    wanted = bounded(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), MAX_TERMS, "terms of queries")
     vocabulary = F.broadcast(wanted.select("term").distinct())
     said = chunks.select("id", "source", terms(F.coalesce(F.col(field), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
     totals = said.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()  # a subquery of one row
@@ -74,7 +75,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, field: str, scopes: list[str] |
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # Both sides have at most one row a term of the checked queries.
-    scored = hits.where(in_scope(F.col("source"), scopes)).join(F.broadcast(df), "term").join(F.broadcast(wanted), "term").withColumn("t", totals).select("*", "t.*")
+    scored = hits.where(in_scope(F.col("source"), scopes)).join(F.broadcast(df), "term").join(wanted, "term").withColumn("t", totals).select("*", "t.*")
     return scored.withColumn("part", part).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
@@ -149,6 +150,6 @@ def search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K, we
     if grouping:
         hits = near_groups(hits, grouping)
     shown = chunks.select("id", "source", "title", "chunk_index", "text", "parent_id")
-    # At most 2 n hits a query, of a checked number of queries: bounded, whatever the chunks are.
-    named = shown.join(F.broadcast(hits), "id")
+    few = queries.count() * 2 * n <= MAX_HITS  # at most 2 n hits a query, whatever the chunks are
+    named = shown.join(F.broadcast(hits) if few else hits, "id")
     return top(first_sources(named, max_files), top_k).select("query_id", "place", "id", "source", "title", "chunk_index", "text", "parent_id", "score", "distance")

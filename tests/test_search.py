@@ -96,3 +96,11 @@ def test_only_the_best_of_a_task_are_shuffled(chunks, asked):
     plan = S.vector_search(chunks, asked, 50)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "WindowGroupLimit" in S.keyword_search(chunks, asked, 50)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_tables_are_checked(chunks, asked, monkeypatch):
+    monkeypatch.setattr(S, "MAX_HITS", 0)  # the join that shuffles gives the same
+    assert S.search(chunks, asked, top_k=12).count() == 12
+    monkeypatch.setattr(S, "MAX_QUERIES", 0)
+    with pytest.raises(ValueError, match="queries at once"):
+        S.search(chunks, asked)
