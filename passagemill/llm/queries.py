@@ -23,6 +23,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "chunks"), threshold=0.7, shingle=1)
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.word_sets import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), id_col="doc_id")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.languages import detect_languages, fit
+
+    chunks = table(spark, sf_dir, "chunks")
+    model = fit(chunks, table(spark, sf_dir, "chunk_labels"), "id", "text", "lang")
+    return detect_languages(chunks.dropDuplicates(["id"]), model)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.languages import wrong_labels
 
@@ -39,6 +53,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.markup import clean_text
+
+    return clean_text(table(spark, sf_dir, "parsed_docs"), "source", "markdown")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.vector_join import nearest_vectors
 
@@ -52,6 +72,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_findings(table(spark, sf_dir, "chunks"))
 
 
+def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.scans import repair_scans
+
+    return repair_scans(table(spark, sf_dir, "chunks"))
+
+
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.same_look import one_form
+
+    return one_form(table(spark, sf_dir, "chunks"), ["source", "title"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.same_look import same_looking
 
