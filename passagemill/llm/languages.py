@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from passagemill.llm.common import pick
 
 LANGUAGES = ("de", "en", "es", "fr", "ru", "uk")
-TRAIN_ROWS = 6_000  #: labelled rows the classifier is fitted on, at most
+TRAIN_ROWS = 4_000  #: labelled rows the classifier is fitted on, at most
+FIRST_SENTENCES = 4_000  #: sentences of the first fit, about, which only sorts out wrong labels
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 LEAST_WORDS = 10  #: a stretch with fewer words (names, file names, codes in a frame of words) decides nothing on its own
@@ -188,7 +189,7 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
         lang = label_language(label)
         if lang is not None:
             examples += [(text[a:b], LANGUAGES.index(lang)) for a, b in sentences(text)[:6]]
-    first = train(examples)
+    first = train(examples[:: max(1, len(examples) // FIRST_SENTENCES)])
     hasher, cache = Hasher(), {}
     agreed = [(t, y) for t, y in examples if first.probabilities(first.word_rows(hasher, cache, t)).argmax() == y]
     return train(agreed)
