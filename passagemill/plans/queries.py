@@ -401,6 +401,13 @@ def url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(urls.select(F.col("source").alias("url")).distinct())
 
 
+@query()
+def url_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every source, in any script; ``url_guard`` is the part that its SQL can say."""
+    urls = table(spark, sf_dir, "chunks").where("source is not null")
+    return url_verdicts(urls.select(F.col("source").alias("url")).distinct())
+
+
 @query()
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):

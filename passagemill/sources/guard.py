@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import os
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urlsplit
 
@@ -41,6 +42,7 @@ def verdict(url: str | None, allow_private: bool = False, resolve: Callable[[str
         return "ok"
     if not host:
         return "no host"
+    host = unicodedata.normalize("NFKC", host).replace("。", ".")  # as name resolution reads full-width digits and dots
     try:
         kind = blocked_kind(host)
     except ValueError:

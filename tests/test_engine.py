@@ -211,3 +211,15 @@ def test_stream_replaces_sources(engine, spark, tmp_path):
     assert "New" in engine.read_document("x") and engine.status()["sources"] == 2
     events = spark.createDataFrame([("2024-01-01 00:00:10", "a"), ("2024-01-01 00:01:50", "a"), ("2024-01-01 00:02:10", "b")], "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type")
     assert sorted(r["n"] for r in windowed_counts(events).collect()) == [1, 2]
+
+
+def test_sources_in_any_script_get_a_verdict(spark, tmp_path):
+    from passagemill.plans import queries
+
+    said = {
+        "/corpus/de/übersicht.md": "scheme none", "/корпус/файл.md": "scheme none", "ｆｉｌｅ:///etc/passwd": "scheme none", "https://пример.рф/файл": "ok",
+        "http://１２７.０.０.１/": "loopback address", "http://127。0。0。1/": "loopback address", "http://10.0.0.1/é": "private address", "": "scheme none", "a\nb": "scheme none",
+    }
+    spark.createDataFrame([(s,) for s in [*said, None, ""]], "source string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = queries.queries()["url_guard_all"](spark, str(tmp_path)).collect()
+    assert {r["url"]: r["verdict"] for r in got} == said and len(got) == len(said)
