@@ -10,7 +10,7 @@ after the end of the one before gives the text again.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -111,8 +111,10 @@ def pieces(text: str, count, limit: int, overlap: int) -> list[tuple[int, int, i
         while size > limit and j > i + 1:
             j -= 1
             size = count(text[start : parts[j - 1][1]])
-        if size > limit:
-            start = parts[i][0]
+        room = overlap
+        while size > limit and start < parts[i][0]:  # the whole may count more than its parts: a shorter overlap
+            room -= size - limit
+            start = _overlap_start(text, count, out[-1][0], parts[i][0], room) if room > 0 else parts[i][0]
             size = count(text[start : parts[j - 1][1]])
         out.append((start, parts[j - 1][1], size))
         i = j
@@ -121,26 +123,35 @@ def pieces(text: str, count, limit: int, overlap: int) -> list[tuple[int, int, i
 
 def _overlap_start(text: str, count, floor: int, end: int, overlap: int) -> int:
     """Where the overlap before ``end`` begins: the earliest sentence start within reach, else the
-    earliest word start, else ``end`` itself."""
+    earliest word start, else the earliest character."""
     lo = max(floor + 1, end - 8 * overlap)
-    tail = text[lo:end]
-    words = [lo + m.start() for m in re.finditer(r"(?<=\s)\S", tail)]
-    if not words:
-        return end
-    a, b = 0, len(words)
-    while a < b:  # the earliest word from which no more than the overlap remains
-        mid = (a + b) // 2
-        if count(text[words[mid] : end]) <= overlap:
-            b = mid
-        else:
-            a = mid + 1
+    while True:
+        words = [lo + m.start() for m in re.finditer(r"(?<=\s)\S", text[lo:end])]
+        if words or lo == floor + 1 or count(text[lo:end]) > overlap:
+            break
+        lo = max(floor + 1, 2 * lo - end)
+    a = _earliest(words, text, count, end, overlap)
     if a == len(words):
-        return end
+        inner = range(words[-1] if words else lo, end)
+        a = _earliest(inner, text, count, end, overlap)
+        return inner[a] if a < len(inner) else end
     first = words[a]
     sentence = next((first + m.end() for m in re.finditer(r"[.!?…]\s+", text[first:end]) if first + m.end() < end), None)
     return sentence if sentence is not None and 2 * (end - sentence) >= end - first else first
 
 
+def _earliest(starts: Sequence[int], text: str, count, end: int, overlap: int) -> int:
+    """The number of the earliest start from which no more than the overlap remains."""
+    a, b = 0, len(starts)
+    while a < b:
+        mid = (a + b) // 2
+        if count(text[starts[mid] : end]) <= overlap:
+            b = mid
+        else:
+            a = mid + 1
+    return a
+
+
 def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str = "byte_bpe_multi_50k.tiktoken", folder: str | None = None) -> DataFrame:
     """``(doc_id, piece int, start int, end int, tokens int, text string)``: ordered pieces, from 0.
 

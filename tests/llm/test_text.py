@@ -277,3 +277,15 @@ def test_every_tokenizer_counts():
     for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"):
         if os.path.exists(tokens.token_path(name)):
             assert tokens.counter(tokens.token_path(name))("Two words") >= 2
+
+
+@needs_tokenizer
+@pytest.mark.parametrize("text", ["a" * 5_000, "字" * 900, "слово" * 1_000, "word " * 100 + "x1,y2;" * 900, "=" * 9_000])
+@pytest.mark.parametrize(("limit", "overlap"), [(64, 8), (16, 8), (512, 64)])
+def test_pieces_overlap_where_there_is_no_gap(text, limit, overlap):
+    count = tokens.counter(tokens.token_path("byte_bpe_multi_50k.tiktoken"))
+    found = splitting.pieces(text, count, limit, overlap)
+    assert count(text) <= limit or len(found) > 1
+    for (before, end, _), (a, _, size) in zip(found[:-1], found[1:], strict=True):
+        assert size <= limit and before < a < end
+        assert count(text[a:end]) <= overlap < count(text[a - 1 : end]) or a == before + 1 or text[a - 1].isspace()
