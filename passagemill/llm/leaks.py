@@ -1,10 +1,11 @@
-"""Passages of held-out items inside a corpus: rare seeds, then local alignment.
-
-The items are a small table with a checked size and are broadcast.  Corpus-wide counts of the
-items' n-grams decide which are rare; every window of ``least_run`` words of an item holds at
-least one seed, its rarest n-gram, so no passage of that length is lost.  A document that holds a
-seed is aligned with the item around it by Smith-Waterman over words; the score finds edited
-copies, and the longest run of equal words tells verbatim ones.
+"""Passages of held-out items inside a corpus: seeds, then local alignment.
+
+The items are a small table with a checked size and are broadcast.  Every n-gram of an item is a
+seed, so that no edited copy that keeps one is lost.  A pair with a seed in common is dropped
+where a bound on its score shows that it cannot come out: no alignment gains more than MATCH for
+a word of the document that the item has, and each other word within it costs.  What remains is
+aligned around the seeds by Smith-Waterman over words; the score finds edited copies, and the
+longest run of equal words tells verbatim ones.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ class _Items:
 
     def __init__(self, rows: list[tuple[object, str]], n: int):
         self.n = n
+        self.worth: dict[int, np.ndarray] = {}
         self.keys = [k for k, _ in rows]
         self.number: dict[str, int] = {}
         self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in words(text)], dtype=np.int64) for _, text in rows]
@@ -35,7 +37,11 @@ class _Items:
         if self.base ** n >= 2**62:
             raise ValueError("too many different words in the items for exact n-gram keys")
         self.grams = [self.pack(w) for w in self.words]
-        self.all = np.unique(np.concatenate([g for g in self.grams] or [np.zeros(0, dtype=np.int64)]))
+        keys = np.concatenate([*self.grams, np.zeros(0, dtype=np.int64)])
+        owner = np.repeat(np.arange(len(rows)), np.array([len(g) for g in self.grams], dtype=np.int64))
+        pairs = np.unique(np.stack([keys, owner]), axis=1)
+        self.all, first = np.unique(pairs[0], return_index=True)
+        self.owners, self.first = pairs[1], np.append(first, len(pairs[1]))
 
     def pack(self, ids: np.ndarray) -> np.ndarray:
         """A key per n-gram; -1 where a word is none of the items'."""
@@ -53,11 +59,38 @@ class _Items:
         get = self.number.get
         return np.array([get(w, -1) for w in words(text)], dtype=np.int64)
 
-    def hits(self, keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-        if not len(among) or not len(keys):
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        """The items that have one of the n-grams, with repetitions."""
+        if not len(self.all) or not len(keys):
             return np.zeros(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-        return np.flatnonzero(among[at] == keys)
+        at = np.minimum(np.searchsorted(self.all, keys), len(self.all) - 1)
+        at = np.unique(at[self.all[at] == keys])
+        each = self.first[at + 1] - self.first[at]
+        nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        return self.owners[np.repeat(self.first[at], each) + nth]
+
+    def stretches(self, item: int, ids: np.ndarray, least: int) -> list[np.ndarray]:
+        """The parts of ``ids`` that hold every alignment with the item of a score of ``least``.
+
+        Summing what each word can gain, no alignment ends higher than the sum has risen over its
+        lowest so far, and none is better for what comes before a new lowest.
+        """
+        if item not in self.worth:
+            if len(self.worth) >= 1_000:
+                self.worth.clear()
+            worth = np.full(len(self.number) + 1, max(MISMATCH, GAP), dtype=np.int8)
+            worth[self.words[item]] = MATCH
+            self.worth[item] = worth  # its last is that of words that no item has
+        total = np.cumsum(self.worth[item][ids], dtype=np.int64)
+        lowest = np.minimum(np.minimum.accumulate(total), 0)
+        high = np.flatnonzero(total - lowest >= least)
+        if not len(high):
+            return []
+        lows = np.flatnonzero(total == lowest)
+        edges = np.searchsorted(lows, high)
+        first = np.append(-1, lows)[edges] + 1
+        ends = np.append(lows, len(ids))
+        return [ids[x : ends[e]] for x, e in zip(*np.unique(np.stack([first, edges]), axis=1))]
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -88,13 +121,44 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+def many(pairs: list[tuple[np.ndarray, np.ndarray]], runs: bool = False) -> np.ndarray:
+    """:func:`align` of each pair, or :func:`longest_run`, by diagonals of many pairs at once."""
+    out = np.zeros(len(pairs), dtype=np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
+    while order:
+        group = order[-256:]
+        group = group[-max(1, 4_000_000 // max(1, len(pairs[group[-1]][1]))) :]
+        del order[-len(group) :]
+        m, l = max(len(pairs[i][0]) for i in group), max(len(pairs[i][1]) for i in group)  # noqa: E741
+        kind = np.int16 if MATCH * m < 30_000 else np.int32
+        a, b = np.full((m, len(group)), -3, dtype=np.int32), np.full((l + 2 * m, len(group)), -2, dtype=np.int32)
+        for col, i in enumerate(group):
+            a[: len(pairs[i][0]), col] = pairs[i][0]
+            b[m + l - len(pairs[i][1]) : m + l, col] = pairs[i][1][::-1]
+        old, last, new = (np.zeros((m + 1, len(group)), dtype=kind) for _ in range(3))
+        top = np.zeros((m, len(group)), dtype=kind)
+        for d in range(l + m - 1):
+            same = a == b[m + l - 1 - d : 2 * m + l - 1 - d]
+            here = new[1:]
+            if runs:
+                np.multiply(old[:-1] + kind(1), same, out=here)
+            else:
+                np.add(old[:-1], np.where(same, kind(MATCH), kind(MISMATCH)), out=here)
+                np.maximum(here, np.maximum(last[:-1], last[1:]) + kind(GAP), out=here)
+                np.maximum(here, kind(0), out=here)
+            np.maximum(top, here, out=top)
+            old, last, new = last, new, old
+        out[group] = top.max(axis=0, initial=0)
+    return out
+
+
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 4, least_run: int = 12, least_score: int = 20) -> DataFrame:
     """``(doc_id, item_id, run int, score int)``: documents that hold a passage of an item.
 
     ``run`` is the longest run of consecutive equal words, ``score`` that of the best local
     alignment; pairs with a seed in common and ``run >= least_run`` or ``score >= least_score``
-    come out, once each.  Null ids and texts and texts without words take no part, nor do items of
-    fewer than ``n`` words; empty tables give no rows.  Repeated rows count once.
+    come out, once each.  Every n-gram is a seed.  Null ids and texts and texts without words take
+    no part, nor do items of fewer than ``n`` words; empty tables give no rows.  Repeated rows count once.
     """
     spark = docs.sparkSession
     given = pick(items, item_id=item_id, text=item_text).where("item_id is not null and text is not null").distinct()
@@ -107,68 +171,35 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     shared = spark.sparkContext.broadcast(_Items(table, n))
     corpus = pick(docs, doc_id=doc_id, text=text).where("doc_id is not null and text is not null")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        total = np.zeros(len(it.all), dtype=np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                keys = it.pack(it.of(t))
-                at = it.hits(keys, it.all)
-                if len(at):
-                    total += np.bincount(np.searchsorted(it.all, keys[at]), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(it.all[some]), pa.array(total[some])], names=["k", "c"])
-
-    counted = corpus.select("text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
-    own = shared.value
-    freq = np.zeros(len(own.all), dtype=np.int64)
-    if counted.num_rows:
-        freq[np.searchsorted(own.all, counted.column(0).to_numpy())] = counted.column(1).to_numpy()
-    seeds: dict[int, set[int]] = {}
-    for number, grams in enumerate(own.grams):
-        if not len(grams):
-            continue
-        rarity = freq[np.searchsorted(own.all, grams)]
-        width = max(1, least_run - n + 1)
-        for lo in range(max(1, len(grams) - width + 1)):
-            at = lo + int(np.argmin(rarity[lo : lo + width]))
-            seeds.setdefault(int(grams[at]), set()).add(number)
-    seed_keys = np.array(sorted(seeds), dtype=np.int64)
-    lookup = spark.sparkContext.broadcast((seed_keys, seeds))
+    least = max(1, min(least_score, MATCH * least_run))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
-        keys_of, items_of = lookup.value
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            todo: list[tuple[int, int, np.ndarray]] = []
+            parts: list[tuple[int, np.ndarray]] = []
+            size, last = 0, batch.num_rows - 1
             for i, t in enumerate(batch.column(1).to_pylist()):
                 ids = it.of(t)
-                keys = it.pack(ids)
-                at = it.hits(keys, keys_of)
-                if not len(at):
-                    continue
-                where: dict[int, list[int]] = {}
-                for p in at.tolist():
-                    for item in items_of[int(keys[p])]:
-                        where.setdefault(item, []).append(p)
-                for item, places in where.items():
-                    target = it.words[item]
-                    run = score = 0
-                    lo = hi = -1
-                    for p in [*places, None]:
-                        if p is not None and lo >= 0 and p - len(target) <= hi:
-                            hi = p + n + len(target)
-                            continue
-                        if lo >= 0:
-                            piece = ids[lo:hi]
-                            run, score = max(run, longest_run(target, piece)), max(score, align(target, piece))
-                        if p is not None:
-                            lo, hi = max(0, p - len(target)), p + n + len(target)
-                    if run >= least_run or score >= least_score:
-                        for col, v in zip(out, (i, it.keys[item], run, score), strict=True):
-                            col.append(v)
-            picked = batch.column(0).take(pa.array(out[0], type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked, pa.array(out[1], type=rows.schema.field(0).type), pa.array(out[2], type=pa.int32()), pa.array(out[3], type=pa.int32())], names=["doc_id", "item_id", "run", "score"])
+                for item in np.unique(it.hits(it.pack(ids))).tolist():
+                    if found := it.stretches(item, ids, least):
+                        parts += [(len(todo), x) for x in found]
+                        todo.append((i, item, ids))
+                        size += sum(map(len, found))
+                if todo and (size > 1_000_000 or i == last):
+                    yield from judged(batch, todo, parts)
+                    todo, parts, size = [], [], 0
+
+    def judged(batch: pa.RecordBatch, todo: list[tuple[int, int, np.ndarray]], parts: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        it = shared.value
+        score = np.zeros(len(todo), dtype=np.int64)
+        np.maximum.at(score, [x for x, _ in parts], many([(it.words[todo[x][1]], part) for x, part in parts]))
+        todo, score = [todo[x] for x in np.flatnonzero(score >= least)], score[score >= least]
+        run = many([(it.words[item], ids) for _, item, ids in todo], runs=True)
+        keep = np.flatnonzero((run >= least_run) | (score >= least_score))
+        picked = batch.column(0).take(pa.array([todo[x][0] for x in keep], type=pa.int64()))
+        named = pa.array([it.keys[todo[x][1]] for x in keep], type=rows.schema.field(0).type)
+        yield pa.RecordBatch.from_arrays([picked, named, pa.array(run[keep], type=pa.int32()), pa.array(score[keep], type=pa.int32())], names=["doc_id", "item_id", "run", "score"])
 
     found = corpus.mapInArrow(search, f"doc_id {id_kind}, item_id {kind}, run int, score int")
     return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("score").alias("score"))

@@ -97,6 +97,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("run >= 12").select("doc_id", "item_id")
 
 
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passagemill.llm.leaks import leaked
+
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("score >= 20")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.packing import pack_documents
 

@@ -126,6 +126,28 @@ def test_leaks_are_found_in_any_dress(spark):
     assert leaks.leaked(d.where("false"), e).count() == 0 and leaks.leaked(d, e.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("step", [6, 8, 10, 11, 12])
+def test_the_only_copy_is_found_though_edited(spark, step):
+    item = [f"w{i}" for i in range(60)]
+    copy = " ".join("new" if i % step == step - 1 else w for i, w in enumerate(item))
+    d = spark.createDataFrame([(1, "so it says " + copy + " and no more"), (2, "w0 w1 w2 w3 only"), (3, "nothing")], "doc_id int, text string")
+    got = leaks.leaked(d, spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)] and got[0]["run"] == step - 1 and got[0]["score"] > 60
+
+
+def test_many_pairs_at_once_are_as_one_by_one():
+    rng = np.random.default_rng(4)
+    items = leaks._Items([(i, " ".join(f"w{x}" for x in rng.integers(0, 30, 10 + i))) for i in range(8)], 2)
+    texts = [rng.integers(-1, len(items.number), n) for n in (0, 1, 5, 40, 41, 90)]
+    pairs = [(items.words[i], ids) for i in range(8) for ids in texts]
+    scores = [leaks.align(a, b) for a, b in pairs]
+    assert leaks.many(pairs).tolist() == scores
+    assert leaks.many(pairs, runs=True).tolist() == [leaks.longest_run(a, b) for a, b in pairs]
+    for least in (1, 6, 12):
+        best = [max((leaks.align(items.words[i], x) for x in items.stretches(i, ids, least)), default=0) for i in range(8) for ids in texts]
+        assert all(x == y for x, y in zip(best, scores, strict=True) if y >= least)
+
+
 def test_local_alignment_scores():
     a = np.array([1, 2, 3, 4, 5])
     assert leaks.align(a, a) == 10
