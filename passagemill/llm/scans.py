@@ -3,7 +3,7 @@
 The lines of a text are a sequence; a linear-chain model over layout features, trained here on
 made-up pages, labels each line as body, running header, page number or break.  Body lines are
 joined across the others, which makes words cut at line ends whole.  A rare word is held against
-the frequent words of the whole corpus through a table of characters that recognisers mix up.
+the repeated words of the whole corpus through a table of characters that recognisers mix up.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from passagemill.llm.common import pick
 from passagemill.llm.same_look import level
 from passagemill.llm.tagger import Chain
 
-VOCABULARY = 60_000  #: most frequent words of the corpus that a misread word may stand for
 LINE_TAGS = ["BODY", "HEADER", "NUMBER", "BREAK"]
 BREAK_MARKS = "-‐­¬‑"
 
@@ -250,9 +249,9 @@ def repair(text: str, model: Chain, speller: Speller) -> tuple[str, list[tuple[s
 # ---- operators ----------------------------------------------------------------------------------
 
 
-def word_counts(df: DataFrame, text_col: str, most: int) -> dict[str, int]:
-    """How many texts of ``df`` hold each of the ``most`` most frequent words and compounds; words
-    of digits only are left out."""
+def word_counts(df: DataFrame, text_col: str) -> dict[str, int]:
+    """How many texts of ``df`` hold each word and compound that more than one holds; words of
+    digits only are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -268,8 +267,8 @@ def word_counts(df: DataFrame, text_col: str, most: int) -> dict[str, int]:
         yield _counts_batch(seen)
 
     rows = pick(df, text=text_col).where("text is not null").mapInArrow(count, "w string, n bigint")
-    top = rows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "w").limit(most).toArrow()
-    return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
+    known = rows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    return dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True))
 
 
 def _counts_batch(seen: Counter) -> pa.RecordBatch:
@@ -293,9 +292,9 @@ def scanned(df: DataFrame, id_col: str = "id", source_col: str = "source", text_
     return rows.join(chosen, "source", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def _repaired(df: DataFrame, id_col: str, source_col: str, text_col: str, engine_col: str, vocabulary: int, findings: bool) -> DataFrame:
+def _repaired(df: DataFrame, id_col: str, source_col: str, text_col: str, engine_col: str, findings: bool) -> DataFrame:
     context = df.sparkSession.sparkContext
-    counts = context.broadcast(word_counts(df, text_col, vocabulary))
+    counts = context.broadcast(word_counts(df, text_col))
     model = context.broadcast(line_model())
     pages = scanned(df, id_col, source_col, text_col, engine_col)
     kind = dict(pages.dtypes)["id"]
@@ -315,16 +314,16 @@ def _repaired(df: DataFrame, id_col: str, source_col: str, text_col: str, engine
     return pages.mapInArrow(run, f"id {kind}, kind string, item string")
 
 
-def repair_scans(df: DataFrame, id_col: str = "id", source_col: str = "source", text_col: str = "text", engine_col: str = "ocr_engine", vocabulary: int = VOCABULARY) -> DataFrame:
+def repair_scans(df: DataFrame, id_col: str = "id", source_col: str = "source", text_col: str = "text", engine_col: str = "ocr_engine") -> DataFrame:
     """``(id, text)``: the text of every row of a scanned source as continuous paragraphs.
 
     Rows with a null id, source or text take no part; an empty text stays empty; rows that repeat
     an id count once (the smallest text).  Headers and page numbers are gone from the result.
     """
-    return _repaired(df, id_col, source_col, text_col, engine_col, vocabulary, False).select("id", F.col("item").alias("text"))
+    return _repaired(df, id_col, source_col, text_col, engine_col, False).select("id", F.col("item").alias("text"))
 
 
-def scan_findings(df: DataFrame, id_col: str = "id", source_col: str = "source", text_col: str = "text", engine_col: str = "ocr_engine", vocabulary: int = VOCABULARY) -> DataFrame:
+def scan_findings(df: DataFrame, id_col: str = "id", source_col: str = "source", text_col: str = "text", engine_col: str = "ocr_engine") -> DataFrame:
     """``(id, kind, item)``: what :func:`repair_scans` repairs: broken_word, misread, header and
     page_number, each item once per id."""
-    return _repaired(df, id_col, source_col, text_col, engine_col, vocabulary, True)
+    return _repaired(df, id_col, source_col, text_col, engine_col, True)

@@ -206,6 +206,14 @@ def test_scan_rows(spark):
     assert scans.scan_findings(df.where("false")).count() == 0
 
 
+def test_words_count_however_many_there_are(spark):
+    many = " ".join("z" + "".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(61_000))
+    rows = [*((f"w{i}", "t", many, None) for i in range(4)), *((f"t{i}", "t", "temporary", None) for i in range(3)), ("p", "s", "They are members of the ternporary staff of this town.", "scan")]
+    df = spark.createDataFrame(rows, "id string, source string, text string, ocr_engine string")
+    assert ("p", "misread", "temporary") in {tuple(r) for r in scans.scan_findings(df).collect()}
+    assert len(scans.word_counts(df, "text")) > 61_000
+
+
 # ---- packing and splitting
 
 needs_tokenizer = pytest.mark.skipif(not __import__("os").path.exists(tokens.token_path("byte_bpe_multi_50k.tiktoken")), reason="no tokenizer files")
