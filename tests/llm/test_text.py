@@ -27,7 +27,7 @@ LAYOUTS = [
 @pytest.mark.parametrize("body", LAYOUTS)
 def test_layouts(body):
     got = transcripts.utterances(body, PEOPLE, transcripts.trained())
-    assert [u["second"] for u in got] == [10, 20, 15]
+    assert [int(u["second"]) for u in got] == [10, 20, 15]
     assert [u["label"] and transcripts.who_is(u["label"], PEOPLE) for u in got] == [1, 2, None]
     assert [u["words"] > 0 for u in got] == [True, False, True]
     assert got[0]["text"].startswith("We start") and "um" not in got[0]["text"].split() and "noise" not in got[0]["text"]
@@ -53,18 +53,36 @@ def test_turns(spark):
     assert transcripts.speaker_turns(s.where("false"), p).count() == 0 and transcripts.speaker_turns(s, p.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "{0:10} | Ada Brown | um, We start now.\n{0:20} | Carl Dorn | [cough]\n{0:15} | It goes on then.",
+        "Dr. Ada Brown\t0:10\tWe uhh... start now.\nDorn, C.\t0:20\tAah, aah...\n0:15\tIt goes on then.",
+        ">> Ada Brown [0:10] We start now.\n>> Carl Dorn [0:20] {door slams}\n[0:15] It goes on then.",
+        "# Ada Brown 0:10\nWe start now.\n\n# Carl Dorn 0:20\nÖhöm.\n\n0:15\nIt goes on then.",
+        "0m10s - ada.brown: We start now.\n0m20s - DORN Carl: Pff... (Türknallen)\n0m15s - It goes on then.",
+        "1\n00:00:10,000 --> 00:00:12,000\nAda Brown: We start now.\n\n2\n00:00:20,000 --> 00:00:21,000\nCarl Dorn: Mm-hmm.\n\n3\n00:00:15,100 --> 00:00:17,000\nIt goes on then.",
+    ],
+)
+def test_layouts_and_sounds_that_are_in_no_list(body):
+    got = transcripts.utterances(body, PEOPLE, transcripts.trained())
+    assert [int(u["second"]) for u in got] == [10, 20, 15]
+    assert [u["label"] and transcripts.who_is(u["label"], PEOPLE) for u in got] == [1, 2, None]
+    assert [u["words"] > 0 for u in got] == [True, False, True]
+
+
+def test_a_participant_with_initials_like_a_sound():
+    got = transcripts.utterances("**Mona Meyer** 1:00\nWe begin here today.\n\n**MM** 1:05\nAnd so we go on.", [(1, "Ada Brown"), (2, "Mona Meyer")], transcripts.trained())
+    assert [transcripts.who_is(u["label"], [(1, "Ada Brown"), (2, "Mona Meyer")]) for u in got] == [2, 2]
+
+
 def test_held_out_tags():
-    rng, right, n = random.Random(5), 0, 0
-    for _ in range(300):
-        for before, pieces, roster in transcripts._made_up_lines(rng):
-            line = " ".join(x for x, _ in pieces)
-            tags = [t for x, t in pieces for _ in transcripts.tokens(x)]
-            toks, items = transcripts.features(line, before, roster)
-            if len(toks) == len(tags):
-                got = transcripts.trained().decode(items)
-                right += sum(a == b for a, b in zip(got, tags, strict=True))
-                n += len(tags)
-    assert right / n > 0.95
+    """Fitted on two thirds of the dresses, marks and clocks, tried on lines of only the others; and with all sounds unlisted."""
+    model = Chain(transcripts.TAGS, transcripts.expand).train(transcripts.examples(random.Random(3), 1_200, part=-1), epochs=4)
+    tried = transcripts.examples(random.Random(5), 300, part=1)
+    got = model.decode_many([items for items, _ in tried])
+    right = sum(a == b for tags, (_, gold) in zip(got, tried, strict=True) for a, b in zip(tags, gold, strict=True))
+    assert right / sum(len(gold) for _, gold in tried) > 0.85
 
 
 def test_chain_learns_moves():
@@ -132,7 +150,7 @@ PAGES = {
     "markdown": ("# Head\n\nSome **bold** words stand here.\nAnd more of them.\n\n- one AP-1\n    - two\n- three AP-3\n\n```\nx = 1\n```\n\n$$E = 1 \\cdot k^2$$\n\n| a | b |\n| --- | --- |\n| 1 | 2 |", ["heading", "paragraph", "list", "code", "formula", "table"]),
     "html": ('<!-- made -->\n<h2 id="s">Head</h2>\n<p>Some <b>bold</b> words stand here.</p>\n<ul>\n<li>one<ul><li>two</li></ul></li>\n<li>three\n</ul>\n<pre><code>x &lt; 1</code></pre>\n<table border=1>\n<tr><td>1</td><td>2</td></tr>\n</table>\n<script>var q=1;</script>', ["heading", "paragraph", "list", "code", "table"]),
     "wiki": ("== Head ==\n\nSome '''bold''' words [[Page|stand]] here.\n\n* one\n** two\n* three\n\n<math>\\sqrt{a^2} > b</math>\n\n{| class=\"wikitable\"\n! a !! b\n|-\n| 1 || 2\n|}\n\n__TOC__", ["heading", "paragraph", "list", "formula", "table"]),
-    "latex": ("\\section{Head}\n\nSome \\emph{bold} words\\footnote{KB-1} stand here.\n\n\\begin{itemize}\n  \\item one\n  \\item two\n\\end{itemize}\n\n\\begin{verbatim}\nx = 1\n\\end{verbatim}\n\n\\label{sec:1}\n\n\\begin{tabular}{ll}\na & b \\\\\n1 & 2\n\\end{tabular}", ["heading", "paragraph", "list", "code", "table"]),
+    "latex": ("\\section{Head}\n\nSome \\emph{bold} words\\footnote{KB-1} stand here.\n\n\\begin{itemize}\n  \\item one\n  \\item two\n\\end{itemize}\n\n\\begin{verbatim}\nx = 1\n\\end{verbatim}\n\n\\label{sec:1}\n\n\\begin{tabular}{ll}\na & b \\\\n1 & 2\n\\end{tabular}", ["heading", "paragraph", "list", "code", "table"]),
 }
 
 
