@@ -135,6 +135,24 @@ def test_the_only_copy_is_found_though_edited(spark, step):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)] and got[0]["run"] == step - 1 and got[0]["score"] > 60
 
 
+def test_items_of_any_number_of_different_words(spark):
+    item = " ".join(f"w{i}" for i in range(60_000))
+    d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(59_980, 59_995))), (2, "w5 w6 w7 w9 w10 w11")], "doc_id int, text string")
+    got = leaks.leaked(d, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()
+    assert [(r["doc_id"], r["run"]) for r in got] == [(1, 15)]
+
+
+def test_edited_copies_among_phrases_that_all_use(spark):
+    """Copies with a word changed every eight, in a corpus whose sentences share phrases with the items."""
+    rng = np.random.default_rng(8)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(7)) for i in range(40)]
+    texts = [" ".join(f"{phrases[rng.integers(40)]} t{rng.integers(9_000)} u{rng.integers(9_000)} v{rng.integers(9_000)} z{rng.integers(9_000)}" for _ in range(8)) for _ in range(300)]
+    copy = lambda t: " ".join(f"n{rng.integers(9_000)}" if k % 8 == 7 else w for k, w in enumerate(t.split()))
+    docs = [(i, "so " + (copy(t) if i < 20 else t)) for i, t in enumerate(texts)]
+    found = leaks.leaked(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(i, texts[i]) for i in range(20)], "item_id int, text string"))
+    assert {(i, i) for i in range(20)} <= {(r["doc_id"], r["item_id"]) for r in found.where("score >= 60").collect()}
+
+
 def test_many_pairs_at_once_are_as_one_by_one():
     rng = np.random.default_rng(4)
     items = leaks._Items([(i, " ".join(f"w{x}" for x in rng.integers(0, 30, 10 + i))) for i in range(8)], 2)
