@@ -3,9 +3,10 @@
 A text is cut into sentences.  A sentence is the average of hashed embeddings of its words and of
 their character n-grams; a linear softmax turns it into probabilities.  Embeddings and softmax are
 trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows.
-A temperature fitted on held-out sentences calibrates the confidence; sentences below the
-rejection limit (names, codes, numbers, single foreign words) take the language of what is around
-them, so that they never make a segment of their own.
+A temperature fitted on held-out sentences calibrates the confidence.  A stretch below the rejection
+limit, or with too little running text in it (names, codes, numbers, single foreign words), takes
+the language of what is around it and never makes a segment of its own.  Neighbouring sentences in
+one language are weighed together, however short each of them is.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ TRAIN_ROWS = 4_000  #: labelled rows the classifier is fitted on, at most
 FIRST_SENTENCES = 4_000  #: sentences of the first fit, about, which only sorts out wrong labels
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-LEAST_WORDS = 10  #: a stretch with fewer words (names, file names, codes in a frame of words) decides nothing on its own
-REJECT = 0.6  #: a sentence whose confidence is lower is undecided
+REJECT = 0.6  #: a stretch whose calibrated confidence is lower is undecided
+LEAST_TEXT = 4  #: plain words a stretch must have to be running text,
+CODE_COST = 3  #: beyond this many for each code, number or capital in it,
+ENOUGH = 7  #: words of a stretch from which its confidence counts in full
+LONG = 10  #: up to this many: so many words are running text whatever else stands between them
 
 # Names of the languages as labels give them, in lower case.
 NAMES = {
@@ -43,6 +47,7 @@ _BY_NAME = {name: lang for lang, names in NAMES.items() for name in names}
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\n\s*\n\s*|\n(?=\s*(?:[-*+#|<]|\d+[.)] ))|\s+[/|—–]\s+|(?<=</p>)|(?<=</li>)|(?<=</td>)")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile(r"\W*[^\W\d_]+(?:[-'’][^\W\d_]+)*\W*")
 _TAG = re.compile(r"<[^<>]{1,200}>|https?://\S+|&\w+;|\\[a-z]+")
 
 
@@ -67,6 +72,27 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def make_up(text: str) -> tuple[int, int]:
+    """How many plain words a stretch has, and how many other tokens: with digits or signs in them, or in capitals."""
+    plain = other = 0
+    for t in text.split():
+        if any(c.isalnum() for c in t):
+            if _PLAIN.fullmatch(t) and not (t.isupper() and len(t) > 1):
+                plain += 1
+            else:
+                other += 1
+        elif t not in "-–—.,;:!?…":
+            other += 1
+    return plain, other
+
+
+def running(text: str, words: int) -> int:
+    """How much running text a stretch is: its plain words less what its codes cost, :data:`LONG` for
+    any with as many words."""
+    plain, other = make_up(text)
+    return LONG if words >= LONG else plain - CODE_COST * other
+
+
 class Hasher:
     """Bucket numbers of words: the word itself, and its n-grams of 2 to 4 characters with borders."""
 
@@ -113,9 +139,13 @@ class Model:
             return np.full(len(self.bias), 1.0 / len(self.bias))
         z = (np.mean(rows, axis=0) + self.bias) / self.temperature
         z = np.exp(z - z.max())
-        p = z / z.sum()
-        few = min(1.0, len(rows) / 3)  # one or two words are little evidence
-        return few * p + (1 - few) / len(p)
+        return z / z.sum()
+
+
+def held_back(p: float, words: int, enough: int, languages: int = len(LANGUAGES)) -> float:
+    """A probability drawn to even ones where there are fewer than ``enough`` words."""
+    few = min(1.0, words / enough)
+    return few * p + (1 - few) / languages
 
 
 def train(examples: list[tuple[str, int]], epochs: int | None = None, rate: float = 0.1, seed: int = 5) -> Model:
@@ -181,14 +211,16 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     on which the first model and the label differ, since part of the labels is wrong."""
     given = pick(labels, id=id_col, label=label_col).where("id is not null and label is not null")
     share = min(1.0, rows / max(1, given.count()))
-    chosen = given.sample(share, seed=3).dropDuplicates(["id"])
+    chosen = given.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["id"])
     got = pick(texts, id=id_col, text=text_col).where("text is not null").join(F.broadcast(chosen), "id").select("id", "text", "label").dropDuplicates(["id"]).toArrow()
     table = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True))
-    examples = []
-    for _, text, label in table:
-        lang = label_language(label)
-        if lang is not None:
-            examples += [(text[a:b], LANGUAGES.index(lang)) for a, b in sentences(text)[:6]]
+    labelled = [([text[a:b] for a, b in sentences(text)], LANGUAGES.index(lang)) for _, text, label in table if (lang := label_language(label)) is not None]
+    return fit_on(labelled)
+
+
+def fit_on(labelled: list[tuple[list[str], int]]) -> Model:
+    """Two fits on the sentences of labelled texts."""
+    examples = [(t, y) for texts, y in labelled for t in texts[:6]]
     first = train(examples[:: max(1, len(examples) // FIRST_SENTENCES)])
     hasher, cache = Hasher(), {}
     agreed = [(t, y) for t, y in examples if first.probabilities(first.word_rows(hasher, cache, t)).argmax() == y]
@@ -214,11 +246,25 @@ def segments(model: Model, hasher: Hasher, cache: dict, text: str, reject: float
         probs.append(model.probabilities(rows))
         sizes.append(len(rows))
     best = [int(p.argmax()) for p in probs]
-    sure = [p.max() >= reject and n >= LEAST_WORDS for p, n in zip(probs, sizes, strict=True)]
     total = sum(p * n for p, n in zip(probs, sizes, strict=True)) if any(sizes) else probs[0]
+    # Neighbours in one language are weighed together, over those without any word between them.
+    stretches: list[list[int]] = []
+    for i in range(len(spans)):
+        if sizes[i] and probs[i].max() >= reject:
+            if stretches and best[stretches[-1][-1]] == best[i]:
+                stretches[-1].append(i)
+            else:
+                stretches.append([i])
+    sure = [False] * len(spans)
+    for at in stretches:
+        n = sum(sizes[i] for i in at)
+        mean = sum(float(probs[i].max()) * sizes[i] for i in at) / n
+        if held_back(mean, n, ENOUGH) >= reject and sum(running(text[slice(*spans[i])], sizes[i]) for i in at) >= LEAST_TEXT:
+            for i in at:
+                sure[i] = True
     if not any(sure):
         lang = int(np.argmax(total))
-        return [Segment(spans[0][0], spans[-1][1], lang, float(total[lang] / max(1e-9, total.sum())))]
+        return [Segment(spans[0][0], spans[-1][1], lang, held_back(float(total[lang] / max(1e-9, total.sum())), sum(sizes), 2))]
     lang = best[sure.index(True)]
     found: list[tuple[int, list[int]]] = []
     for i in range(len(spans)):
@@ -230,8 +276,8 @@ def segments(model: Model, hasher: Hasher, cache: dict, text: str, reject: float
             found.append((lang, [i]))
     out = []
     for lang, at in found:
-        n = max(1, sum(sizes[i] for i in at))
-        conf = sum(probs[i][lang] * sizes[i] for i in at) / n
+        own = [i for i in at if sure[i]]
+        conf = sum(probs[i][lang] * sizes[i] for i in own) / sum(sizes[i] for i in own)
         out.append(Segment(spans[at[0]][0], spans[at[-1]][1], lang, float(conf)))
     return out
 
@@ -276,7 +322,7 @@ def wrong_labels(df: DataFrame, labels: DataFrame, id_col: str = "id", text_col:
     texts = pick(df, id=id_col, text=text_col).where("text is not null").join(given, "id")
     once = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     names = spark.createDataFrame([(name, lang) for name, lang in _BY_NAME.items()], "name string, named string")
-    found = detect_languages(once.select("id", "text"), model, "id", "text", 0.0)
+    found = detect_languages(once.select("id", "text"), model, "id", "text").where("lang is not null")
     key = F.lower(F.trim("label"))
     head = F.regexp_extract(key, r"^([^-_ .(]*)", 1)
     exact, short = names.select(F.col("name").alias("n1"), F.col("named").alias("by_name")), names.select(F.col("name").alias("n2"), F.col("named").alias("by_head"))

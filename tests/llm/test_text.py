@@ -123,6 +123,14 @@ def test_segments_of_mixed_texts(model):
     assert parts(model, "") == [] and parts(model, " \n ") == []
 
 
+def test_short_stretches_count_by_what_they_hold(model):
+    en = SPEECH["en"].format("kobali").capitalize() + "."
+    assert parts(model, f"{en} Die Abteilung schickt ihn dem Büro. {en}") == ["en", "de", "en"]  # six words
+    assert parts(model, f"{en} Die Abteilung bestätigt. Ihn schickt sie. An das Büro. {en}") == ["en", "de", "en"]  # a run of shorter ones
+    assert parts(model, f"{en} Datei kobali_12.txt vor C:\\kobali des Monats 77. {en}") == ["en"]  # codes in a frame of words
+    assert parts(model, f"{en} Das Büro. {en}") == ["en"]
+
+
 @pytest.mark.parametrize(("label", "lang"), [("en-US", "en"), ("EN", "en"), ("deu", "de"), ("Deutsch", "de"), ("русский", "ru"), ("українська", "uk"), ("fr_CA", "fr"), ("mul", None), ("", None), (None, None), ("??", None), ("es-MX", "es")])
 def test_label_names(label, lang):
     assert languages.label_language(label) == lang
