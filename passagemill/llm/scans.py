@@ -1,9 +1,10 @@
 """Text of scanned pages as continuous paragraphs of whole, rightly spelled words.
 
-The lines of a text are a sequence; a linear-chain model over layout features, trained here on
-made-up pages, labels each line as body, running header, page number or break.  Body lines are
-joined across the others, which makes words cut at line ends whole.  A rare word is held against
-the repeated words of the whole corpus through a table of characters that recognisers mix up.
+The lines of a text are a sequence; a linear-chain conditional random field over layout features,
+trained here on made-up pages, labels each line as body, running header, page number or break.
+Body lines are joined across the others, which makes words cut at line ends whole.  A rare word is
+held against the repeated words of the whole corpus through a table of characters that recognisers
+mix up: every distinct word of the scanned texts is joined with the counts of all words, once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import pick
+from passagemill.llm.common import pick, spread, stored
 from passagemill.llm.same_look import level
 from passagemill.llm.tagger import Chain
 
@@ -166,42 +167,44 @@ def readings(word: str) -> set[str]:
 
 
 class Speller:
-    """Right spellings from counts of words; remembers its answers."""
+    """What is known of the words of one text: their counts and right spellings."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.known: dict[str, str | None] = {}
-
-    def _best(self, word: str, forms: set[str]) -> str | None:
-        own = self.counts.get(word, 0)
-        best = max(((self.counts.get(f, 0), f) for f in forms), default=(0, ""))
-        return best[1] if best[0] >= max(3, 20 * own) else None
+    def __init__(self, counts: dict[str, int], right: dict[str, str]):
+        self.counts, self.rights = counts, right
 
     def right(self, word: str) -> str | None:
         """The right word if ``word`` is misread, None if it is not or cannot be told."""
-        if len(word) < 3 or word.isdigit():
-            return None
-        if word not in self.known:
-            once = readings(word)
-            found = self._best(word, once)
-            if found is None and self.counts.get(word, 0) == 0 and len(word) > 5:
-                found = self._best(word, {x for f in once for x in readings(f)} - {word})
-            if len(self.known) < 300_000:
-                self.known[word] = found
-            return found
-        return self.known[word]
-
-
-def whole_word(left: str, right: str, counts: dict[str, int], mark: str) -> str:
-    """Two halves as one word, with the hyphen between them only if the corpus writes it so."""
-    plain, hyphened = (left + right).lower(), f"{left}-{right}".lower()
-    return hyphened if mark in "-‐‑" and counts.get(hyphened, 0) > counts.get(plain, 0) else plain
-
-
-def repair(text: str, model: Chain, speller: Speller) -> tuple[str, list[tuple[str, str]]]:
-    """The paragraphs of a scanned text, and what was repaired as ``(kind, item)``."""
+        return self.rights.get(word)
+
+    def whole(self, left: str, right: str, mark: str) -> str:
+        """Two halves as one word, with the hyphen between them only if the corpus writes it so."""
+        plain, hyphened = (left + right).lower(), f"{left}-{right}".lower()
+        return hyphened if mark in "-‐‑" and self.counts.get(hyphened, 0) > self.counts.get(plain, 0) else plain
+
+
+class Asked:
+    """A speller that knows nothing and notes what it is asked."""
+
+    def __init__(self) -> None:
+        self.words: set[str] = set()
+        self.joined: set[str] = set()
+
+    def right(self, word: str) -> None:
+        if len(word) > 2 and not word.isdigit():
+            self.words.add(word)
+
+    def whole(self, left: str, right: str, mark: str) -> str:
+        plain, hyphened = (left + right).lower(), f"{left}-{right}".lower()
+        self.joined |= {plain, hyphened}
+        for half in (left, right):  # those of a word that keeps its hyphen
+            for part in half.lower().split("-"):
+                self.right(part)
+        return plain
+
+
+def repair(text: str, tags: list[str], speller: Speller | Asked) -> tuple[str, list[tuple[str, str]]]:
+    """The paragraphs of a scanned text whose lines have these tags, and what was repaired as ``(kind, item)``."""
     lines = text.split("\n")
-    tags = model.decode(line_features(lines))
     found: list[tuple[str, str]] = []
     paragraphs: list[str] = []
     body = ""
@@ -221,8 +224,7 @@ def repair(text: str, model: Chain, speller: Speller) -> tuple[str, list[tuple[s
         cut, rest = _CUT_LEFT.search(body), _CUT_RIGHT.match(bare)
         if cut and rest and not cut.group(1).isdigit():
             left, right = cut.group(1), rest.group(1)
-            mark = body.rstrip()[-1]
-            word = whole_word(left, right, speller.counts, mark)
+            word = speller.whole(left, right, body.rstrip()[-1])
             fixed = "-".join(speller.right(p) or p for p in word.split("-"))
             found.append(("broken_word", fixed))
             joint = "-" if word == f"{left}-{right}".lower() else ""
@@ -249,9 +251,9 @@ def repair(text: str, model: Chain, speller: Speller) -> tuple[str, list[tuple[s
 # ---- operators ----------------------------------------------------------------------------------
 
 
-def word_counts(df: DataFrame, text_col: str) -> dict[str, int]:
-    """How many texts of ``df`` hold each word and compound that more than one holds; words of
-    digits only are left out."""
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """``(w, n)``: how many texts of ``df`` hold each word and compound that more than one holds; words
+    of digits only are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -267,8 +269,45 @@ def word_counts(df: DataFrame, text_col: str) -> dict[str, int]:
         yield _counts_batch(seen)
 
     rows = pick(df, text=text_col).where("text is not null").mapInArrow(count, "w string, n bigint")
-    known = rows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    return dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True))
+    return rows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def spellings(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(w, own, right)`` of every distinct word ``w`` of ``asked``: its count, and the reading of it
+    that is far more frequent (at least 3 texts and 20 times as many), if there is one.  Two mix-ups
+    are undone only in words of more than five characters that no second text holds."""
+
+    def read(twice: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, forms = [], []
+                for i, w in enumerate(batch.column(0).to_pylist()):
+                    got = readings(w)
+                    if twice:
+                        got = {x for f in got for x in readings(f)} - {w}
+                    at += [i] * len(got)
+                    forms += got
+                    if len(at) > 100_000:
+                        yield batch_of(batch, at, forms)
+                        at, forms = [], []
+                yield batch_of(batch, at, forms)
+
+        return run
+
+    def batch_of(batch: pa.RecordBatch, at: list[int], forms: list[str]) -> pa.RecordBatch:
+        took = batch.take(pa.array(at, type=pa.int64()))
+        return pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(forms, type=pa.string())], names=["w", "own", "form"])
+
+    def best(words: DataFrame, twice: bool) -> DataFrame:
+        tried = words.mapInArrow(read(twice), "w string, own bigint, form string").join(counts.select(F.col("w").alias("form"), "n"), "form")
+        fits = tried.where(F.col("n") >= F.greatest(F.lit(3), 20 * F.col("own")))
+        return fits.groupBy("w").agg(F.max(F.struct("n", "form"))["form"].alias("right"))
+
+    known = asked.join(counts, "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("own"))
+    once = known.join(best(known.where("length(w) > 2"), False), "w", "left")
+    once = stored(once, "readings")
+    twice = best(once.where("right is null and own = 0 and length(w) > 5").select("w", "own"), True)
+    return once.join(twice.withColumnRenamed("right", "other"), "w", "left").select("w", "own", F.coalesce("right", "other").alias("right"))
 
 
 def _counts_batch(seen: Counter) -> pa.RecordBatch:
@@ -289,29 +328,48 @@ def scanned(df: DataFrame, id_col: str = "id", source_col: str = "source", text_
     sources = pick(df, source=source_col, engine=engine_col).where("source is not null").groupBy("source").agg(F.max(F.trim(F.coalesce("engine", F.lit(""))) != "").alias("engine"))
     levelled = sources.mapInArrow(key, "source string, same string, engine boolean")
     chosen = levelled.join(levelled.where("engine").select("same").distinct(), "same", "left_semi").select("source")
-    return rows.join(chosen, "source", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return spread(rows.join(chosen, "source", "left_semi").select("id", "text"), "id").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _repaired(df: DataFrame, id_col: str, source_col: str, text_col: str, engine_col: str, findings: bool) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    counts = context.broadcast(word_counts(df, text_col))
-    model = context.broadcast(line_model())
+    model = df.sparkSession.sparkContext.broadcast(line_model())
     pages = scanned(df, id_col, source_col, text_col, engine_col)
     kind = dict(pages.dtypes)["id"]
 
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            tags = model.value.decode_many([line_features(t.split("\n")) for t in texts])
+            words, joined = [], []
+            for t, tag in zip(texts, tags, strict=True):
+                asked = Asked()
+                repair(t, tag, asked)
+                words.append(sorted(asked.words - asked.joined))
+                joined.append(sorted(asked.joined))
+            codes = ["".join(str(LINE_TAGS.index(x)) for x in tag) for tag in tags]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, type=pa.string()), pa.array(words, type=pa.list_(pa.string())), pa.array(joined, type=pa.list_(pa.string()))], names=["id", "text", "tags", "words", "joined"])
+
+    lines = stored(pages.mapInArrow(label, f"id {kind}, text string, tags string, words array<string>, joined array<string>"), "scan-lines")
+    held = lines.select("id", F.explode("words").alias("w"), F.lit(False).alias("whole")).unionByName(lines.select("id", F.explode("joined").alias("w"), F.lit(True).alias("whole")))
+    counts = stored(word_counts(df, text_col), "word-counts")
+    known = stored(spellings(held.select("w").distinct(), counts).where("right is not null or own > 0"), "spellings")
+    # Of the words of a text only those come back that are misread or were cut.
+    answers = held.join(known, "w").where("whole or right is not null").groupBy("id").agg(F.collect_list(F.struct("w", "own", "right")).alias("answers"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(counts.value)
         for batch in batches:
             at, kinds, items = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                clean, found = repair(text, model.value, speller)
+            for i, (text, codes, got) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)), strict=True)):
+                got = got or []
+                speller = Speller({x["w"]: x["own"] for x in got}, {x["w"]: x["right"] for x in got if x["right"] is not None})
+                clean, found = repair(text, [LINE_TAGS[int(c)] for c in codes], speller)
                 for k, item in sorted(set(found)) if findings else [("text", clean)]:
                     at.append(i)
                     kinds.append(k)
                     items.append(item)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, type=pa.int64())), pa.array(kinds, type=pa.string()), pa.array(items, type=pa.string())], names=["id", "kind", "item"])
 
-    return pages.mapInArrow(run, f"id {kind}, kind string, item string")
+    return lines.select("id", "text", "tags").join(answers, "id", "left").mapInArrow(run, f"id {kind}, kind string, item string")
 
 
 def repair_scans(df: DataFrame, id_col: str = "id", source_col: str = "source", text_col: str = "text", engine_col: str = "ocr_engine") -> DataFrame:

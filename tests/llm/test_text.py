@@ -203,10 +203,37 @@ def test_block_rows(spark):
 # ---- scans
 
 
+def brute_spelling(words, counts):
+    """The most frequent reading of each word, by the definition."""
+    out = {}
+    for w in words:
+        own, once = counts.get(w, 0), scans.readings(w)
+        forms = [once, {x for f in once for x in scans.readings(f)} - {w} if own == 0 and len(w) > 5 else set()]
+        for some in forms if len(w) > 2 else []:
+            best = max(((counts.get(f, 0), f) for f in some), default=(0, ""))
+            if best[0] >= max(3, 20 * own):
+                out[w] = best[1]
+                break
+    return out
+
+
+def test_spellings_are_those_of_the_definition(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("clirnmoe") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    counts = {w: rng.choice([2, 5, 60, 900]) for w in words[:250]}
+    asked = {*words, *(scans.readings(w).pop() for w in words[:200] if scans.readings(w))}
+    got = scans.spellings(spark.createDataFrame([(w,) for w in asked], "w string"), spark.createDataFrame(list(counts.items()), "w string, n bigint")).collect()
+    assert {r["w"]: r["right"] for r in got if r["right"]} == brute_spelling(asked, counts)
+    assert {r["w"]: r["own"] for r in got} == {w: counts.get(w, 0) for w in asked}
+
+
 def test_pages_are_repaired():
     counts = {w: 50 for w in "the helpdesk confirms customs declarations of temporary staff in module before year year-end reports and sends them".split()}
     text = "The helpdesk confirms the cust-\nTREASURY · Closing guide   12\noms declarations of ternporary stuff\nin m0dule Baka before the year-\nend. It sends the re\u00ad\nports and forwards\n\n— 13 —\n\nthem to the office of the town."
-    clean, found = scans.repair(text, scans.line_model(), scans.Speller(counts))
+    tags = scans.line_model().decode(scans.line_features(text.split("\n")))
+    asked = scans.Asked()
+    scans.repair(text, tags, asked)
+    clean, found = scans.repair(text, tags, scans.Speller(counts, brute_spelling(asked.words | asked.joined, counts)))
     assert ("broken_word", "customs") in found and ("broken_word", "year-end") in found and ("broken_word", "reports") in found
     assert ("header", "TREASURY · Closing guide   12") in found and ("page_number", "13") in found
     assert ("misread", "temporary") in found and ("misread", "module") in found
@@ -237,7 +264,7 @@ def test_words_count_however_many_there_are(spark):
     rows = [*((f"w{i}", "t", many, None) for i in range(4)), *((f"t{i}", "t", "temporary", None) for i in range(3)), ("p", "s", "They are members of the ternporary staff of this town.", "scan")]
     df = spark.createDataFrame(rows, "id string, source string, text string, ocr_engine string")
     assert ("p", "misread", "temporary") in {tuple(r) for r in scans.scan_findings(df).collect()}
-    assert len(scans.word_counts(df, "text")) > 61_000
+    assert scans.word_counts(df, "text").count() > 61_000
 
 
 # ---- packing and splitting
