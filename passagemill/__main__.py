@@ -1,4 +1,4 @@
-"""Commands: sync, ingest, ingest-text, query, read, read-neighbors, list, status, delete."""
+"""Commands: sync, ingest, ingest-text, ingest-url, query, read, read-neighbors, list, status, delete."""
 
 from __future__ import annotations
 
@@ -18,13 +18,15 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--base-dir", action="append", default=[])
     top.add_argument("--index")
     sub = top.add_subparsers(dest="command", required=True)
-    for name, args in {"sync": ["path?"], "ingest": ["path"], "query": ["text"], "read": ["source"], "read-neighbors": ["source", "chunk"], "list": ["path?"], "status": [], "delete": ["source"], "ingest-text": ["source"]}.items():
+    for name, args in {"sync": ["path?"], "ingest": ["path"], "query": ["text"], "read": ["source"], "read-neighbors": ["source", "chunk"], "list": ["path?"], "status": [], "delete": ["source"], "ingest-text": ["source"], "ingest-url": ["url"]}.items():
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a.rstrip("?"), nargs="?" if a.endswith("?") else None)
         if name == "query":
             p.add_argument("--top-k", type=int, default=8)
             p.add_argument("--scope", action="append")
+        if name == "ingest-url":
+            p.add_argument("--title")
         if name == "read-neighbors":
             p.add_argument("--before", type=int, default=1)
             p.add_argument("--after", type=int, default=1)
@@ -47,6 +49,8 @@ def main(argv: list[str] | None = None) -> int:
         out = {"ingested": engine.ingest_file(os.path.abspath(a.path))}
     elif a.command == "ingest-text":
         out = {"ingested": engine.ingest_data(sys.stdin.read(), a.source, "markdown")}
+    elif a.command == "ingest-url":
+        out = {"ingested": engine.ingest_url(a.url, title=a.title)}
     elif a.command == "query":
         out = rows(engine.query(a.text, a.top_k, a.scope).orderBy("place").select(*result_columns()))
     elif a.command == "read":
@@ -54,7 +58,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "read-neighbors":
         out = rows(engine.read_neighbours(a.source, int(a.chunk), a.before, a.after))
     elif a.command == "list":
-        out = rows(engine.list_files(a.path))
+        print("[", end="")
+        for n, r in enumerate(engine.list_files(a.path).toLocalIterator()):  # as many as there are files: never gathered
+            print(",\n" if n else "\n", json.dumps(r.asDict(), ensure_ascii=False), sep="", end="")
+        out = "\n]"
     elif a.command == "status":
         out = engine.status()
     else:

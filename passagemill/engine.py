@@ -13,6 +13,7 @@ from passagemill.functions import titles, vectors
 from passagemill.functions.tokens import estimate
 from passagemill.operators import navigate, reconcile, search
 from passagemill.plans.passages import SCHEME_VERSION, Count, passage_stage
+from passagemill.sources import fetch as web
 from passagemill.sources import files, guard
 from passagemill.sources.store import SCHEMA, IndexStore
 from passagemill.sync import SyncManager, sync_lock
@@ -60,28 +61,33 @@ class Engine:
         finally:
             made.unpersist()
 
+    def _titled(self, texts: DataFrame) -> DataFrame:
+        """Documents from ``(source, source_type, title, markdown)``: without a title the first top
+        heading is one; the id that stands in for a missing title is put above no text."""
+        cleaned = texts.withColumn("markdown", titles.strip_data_images(F.coalesce("markdown", F.lit(""))))
+        own = F.coalesce(F.nullif(F.trim(F.col("title")), F.lit("")), titles.first_h1(F.col("markdown")))
+        return cleaned.select("source", "source_type", F.coalesce(own, "source").alias("title"), own.isNotNull().alias("seed_title"), "markdown", F.lit("").alias("file_hash"), F.lit(0.0).alias("mtime"), F.lit("").alias("ocr_engine"))
+
     def ingest_table(self, documents: DataFrame, source: str, text: str, title: str | None = None) -> tuple[int, list[dict]]:
         """Texts of any table, under the ids of one of its columns."""
-        name = F.col(title) if title else F.lit(None).cast("string")
-        rows = documents.select(F.col(source).cast("string").alias("source"), F.lit("data").alias("source_type"), F.coalesce(name, F.col(source).cast("string")).alias("title"), name.isNotNull().alias("seed_title"), titles.strip_data_images(F.col(text)).alias("markdown"), F.lit("").alias("file_hash"), F.lit(0.0).alias("mtime"), F.lit("").alias("ocr_engine"))
-        return self._write(rows)
+        name = F.col(title).cast("string") if title else F.lit(None).cast("string")
+        return self._write(self._titled(documents.select(F.col(source).cast("string").alias("source"), F.lit("data").alias("source_type"), name.alias("title"), F.col(text).alias("markdown"))))
 
     def ingest_data(self, text: str, source: str, fmt: str = "text", title: str | None = None, source_type: str = "data") -> int:
         if fmt not in ("text", "markdown", "html"):
             raise ValueError(f"UnsupportedFormatError: {fmt!r}")
         markdown, own = files.html_to_markdown(text) if fmt == "html" else (text, None)
-        given = (title or "").strip() or own
-        row = [(source, source_type, given or source, given is not None, markdown, "", 0.0, "")]
-        docs = self.spark.createDataFrame(row, "source string, source_type string, title string, seed_title boolean, markdown string, file_hash string, mtime double, ocr_engine string")
-        n, errors = self._write(docs.withColumn("markdown", titles.strip_data_images(F.col("markdown"))))
+        row = [(source, source_type, (title or "").strip() or own, markdown)]
+        n, errors = self._write(self._titled(self.spark.createDataFrame(row, "source string, source_type string, title string, markdown string")))
         if errors:
             raise EmptyDocumentError(errors[0]["error"])
         return n
 
-    def ingest_url(self, url: str, fetch, resolve=None) -> int:
-        """``fetch`` gets a checked URL and gives its HTML; it must check each redirect the same way."""
+    def ingest_url(self, url: str, fetch=None, resolve=guard.resolve_host, source: str | None = None, title: str | None = None) -> int:
+        """``fetch`` gets a checked URL and gives its HTML; the default checks every redirect as well."""
         guard.check_url(url, self.config.allow_private_urls, resolve)
-        return self.ingest_data(fetch(url), url, "html", source_type="url")
+        page = fetch(url) if fetch else web.fetch(url, self.config.allow_private_urls, resolve)
+        return self.ingest_data(page, source or url, "html", title, source_type="url")
 
     def ingest_files(self, entries: DataFrame) -> tuple[int, list[dict]]:
         """Scanned files ``(path, size, mtime)``; too large and unreadable ones are errors."""
@@ -109,13 +115,21 @@ class Engine:
         with sync_lock(self.config.index_path):
             return self._sync(scope)
 
-    def _diff(self, scope: str | None) -> tuple[DataFrame, DataFrame]:
+    def _on_disk(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The scan, the indexed sources, the hashes of files whose time differs, and the indexed files
+        outside the scan that are still there."""
         entries = files.scan(self.spark, self.config.roots)
         indexed = navigate.list_sources(self.store.read())
-        scopes = [os.path.realpath(scope)] if scope else None
-        doubtful = entries.join(indexed.where("source_type = 'file'").select(F.col("source").alias("path"), F.col("mtime").alias("known")), "path").where("mtime <> known").drop("known")
+        known = indexed.where("source_type = 'file'")
+        doubtful = entries.join(known.select(F.col("source").alias("path"), F.col("mtime").alias("known")), "path").where("mtime <> known").drop("known")
         hashed = files.read_files(self.spark, doubtful, self.config.max_file_size).select(F.col("path").alias("source"), F.sha2("content", 256).alias("hash"))
-        return entries, reconcile.sync_diff(entries, indexed, self.config.max_file_size, scopes, hashed).cache()
+        there = files.still_there(known.select("source").join(entries.select(F.col("path").alias("source")), "source", "left_anti"))
+        return entries, indexed, hashed, there
+
+    def _diff(self, scope: str | None) -> tuple[DataFrame, DataFrame]:
+        scopes = [os.path.realpath(scope)] if scope else None
+        entries, indexed, hashed, there = self._on_disk()
+        return entries, reconcile.sync_diff(entries, indexed, self.config.max_file_size, scopes, hashed, existing=there).cache()
 
     def _sync(self, scope: str | None) -> tuple[dict, list[dict]]:
         entries, diff = self._diff(scope)
@@ -127,7 +141,7 @@ class Engine:
                 wanted = diff.where("action = 'ingest'").select(F.col("source").alias("path"))
                 done, failed = self.ingest_files(entries.join(wanted, "path", "left_semi"))
             if n.get("delete"):
-                self.store.commit(self.store.read().join(diff.where("action = 'delete'").select("source"), "source", "left_anti").select(*SCHEMA.fieldNames()))
+                self.store.drop(diff.where("action = 'delete'").select("source"))
             counts = {"scanned": sum(n.get(k, 0) for k in ("ingest", "unchanged", "oversized")), "ingested": done, "skipped": n.get("unchanged", 0), "deleted": n.get("delete", 0), "unreadable": n.get("unreadable", 0), "failed": n.get("oversized", 0) + len(failed)}
             return counts, [*errors, *failed]
         finally:
@@ -143,7 +157,7 @@ class Engine:
 
     def query_many(self, queries: DataFrame, top_k: int = search.DEFAULT_TOP_K, scopes: list[str] | None = None) -> DataFrame:
         c = self.config
-        return search.search(self.store.read(), queries, top_k, c.hybrid_weight, scopes, c.max_distance, c.grouping, c.max_files)
+        return search.search(self.store.read(), queries, top_k, c.hybrid_weight, scopes, c.max_distance, c.grouping, c.max_files, self.store.postings())
 
     def parents(self, hits: DataFrame) -> DataFrame:
         return navigate.parent_texts(self.store.read(), hits)
@@ -156,18 +170,33 @@ class Engine:
         return navigate.neighbours(self.store.read(), anchor, before, after).orderBy("chunk_index")
 
     def read_document(self, source: str) -> str:
-        found = navigate.document_parts(self.store.read().where(F.col("source") == source)).orderBy("first").collect()
+        found = navigate.document_parts(self.store.read(source)).orderBy("first").collect()
         if not found:
             raise KeyError(f"not in the index: {source}")
         return "\n\n".join(r["text"] for r in found)
 
     def list_files(self, scope: str | None = None) -> DataFrame:
         scopes = [os.path.realpath(scope)] if scope else None
-        return reconcile.file_states(files.scan(self.spark, self.config.roots), navigate.list_sources(self.store.read()), scopes).orderBy("source")
+        entries, indexed, hashed, there = self._on_disk()
+        return reconcile.file_states(entries, indexed, scopes, hashed, existing=there).orderBy("source")
+
+    def get_source(self, source: str) -> dict | None:
+        """What the index knows of one source; None if it does not hold it."""
+        found = navigate.list_sources(self.store.read(source)).first()
+        return found.asDict() if found else None
+
+    def all_chunks(self, source: str) -> DataFrame:
+        return self.store.read(source).orderBy("chunk_index")
 
     def status(self) -> dict:
-        n = navigate.counts(self.store.read()).first().asDict()
-        return {**n, "index": self.config.index_path, "dim": self.config.dim, "scheme": SCHEME_VERSION, "job": self.jobs.job.to_dict() if self.jobs.job else None}
+        """Always answers: what cannot be read is said under ``error``."""
+        known = {"index": self.config.index_path, "dim": self.config.dim, "scheme": SCHEME_VERSION, "job": self.jobs.job.to_dict() if self.jobs.job else None}
+        try:
+            n = navigate.counts(self.store.read()).first().asDict()
+        except Exception as e:  # noqa: BLE001 - a broken index is part of the status
+            return {**known, "error": f"{type(e).__name__}: {e}"}
+        notes = [f"{n['stale']} passages were cut by an older scheme: sync again"] if n["stale"] else []
+        return {**n, **known, "notes": notes, "ocr": "a recogniser is passed in by the caller; none is part of this package"}
 
 
 def result_columns() -> list[Column]:

@@ -78,8 +78,10 @@ def file_title(metadata: Column, markdown: Column, source: Column) -> Column:
 
 
 def strip_data_images(markdown: Column) -> Column:
-    """Embedded images become their trimmed description; a text of nothing else stays."""
-    cut = F.regexp_replace(markdown, r"!\[\s*([^\]]*?)\s*\]\(\s*data:[^)]*\)", "$1")
+    """Embedded images become their trimmed description, outside fenced blocks and within a line; a
+    text of nothing else stays."""
+    fenced = r"(^[ \t]*(`{3,}|~{3,})[^\n]*(?:\n.*?(?:^[ \t]*\2[^\n]*$|\z)|\z))"
+    cut = F.regexp_replace(markdown, rf"(?ms){fenced}|!\[[ \t]*([^\]\n]*?)[ \t]*\]\([ \t]*data:[^)\n]*\)", "$1$3")
     return F.when(squeezed(cut) == "", markdown).otherwise(cut)
 
 

@@ -52,15 +52,20 @@ def sync_diff(entries: DataFrame, indexed: DataFrame, max_file_size: int = MAX_F
     return met.select("source", action.alias("action"))
 
 
-def file_states(entries: DataFrame, indexed: DataFrame, scopes: list[str] | None = None, hashes: DataFrame | None = None) -> DataFrame:
-    """``(source, state)`` of files on disk, and of indexed sources that are no files; vanished
-    files are left out."""
-    met = _met(entries, indexed, scopes).where("on_disk")
+def file_states(entries: DataFrame, indexed: DataFrame, scopes: list[str] | None = None, hashes: DataFrame | None = None, supported: list[str] | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """``(source, state)`` of files on disk, and of indexed sources that are no files.  Indexed files
+    the scan has no reader for are ``unreadable`` if ``existing`` lists them; vanished ones are left out."""
+    every = _met(entries, indexed, scopes)
+    met = every.where("on_disk")
     met = met.join(hashes.select("source", "hash"), "source", "left") if hashes is not None else met.withColumn("hash", F.lit(None).cast("string"))
     by_scheme = F.when(_stale(), "stale_scheme").otherwise("ingested")
     same = (F.col("disk_mtime") == F.col("mtime")) | F.coalesce(F.col("hash") == F.col("file_hash"), F.lit(False))
     files = met.select("source", F.when(F.col("in_index").isNull(), "not_ingested").when(same, by_scheme).otherwise("stale").alias("state"))
     others = indexed.where((F.col("source_type") != "file")).select("source", by_scheme.alias("state"))
+    if existing is not None:
+        there = existing.select("source").distinct()
+        kept = every.where(F.col("on_disk").isNull() & unreadable(F.col("source"), supported or EXTENSIONS)).join(there, "source", "left_semi")
+        files = files.unionByName(kept.select("source", F.lit("unreadable").alias("state")))
     return files.unionByName(others)
 
 

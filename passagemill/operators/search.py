@@ -60,29 +60,47 @@ def postings(chunks: DataFrame, field: str) -> DataFrame:
     return said.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, field: str, scopes: list[str] | None = None) -> DataFrame:
-    """``(query_id, id, score)`` of the chunks that hold a term of the query.
+def _asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+
+
+def _scored(hits: DataFrame, wanted: DataFrame, totals: DataFrame, scopes: list[str] | None) -> DataFrame:
+    """``(query_id, id, score)`` from the postings ``(field, term, id, source, tf, dl)`` of the wanted
+    terms and the totals ``(field, n, avgdl)``: the score of the better field."""
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # Small sides: at most a row a term and field of the checked queries, and a row a field.
+    met = hits.where(in_scope(F.col("source"), scopes)).join(F.broadcast(df), ["field", "term"]).join(F.broadcast(totals), "field").join(wanted, "term")
+    return met.withColumn("part", part).groupBy("query_id", "id", "field").agg(F.sum("part").alias("score")).groupBy("query_id", "id").agg(F.max("score").alias("bm25"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, scopes: list[str] | None = None) -> DataFrame:
+    """``(query_id, id, bm25)`` of the chunks that hold a term of the query in text or title, from the
+    texts themselves.
 
     Statistics are global.  Only postings of the queries' terms are kept, before the first shuffle:
     the wanted terms are a bounded table, joined by broadcast on the exploded terms.
     """
-    wanted = bounded(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), MAX_TERMS, "terms of queries")
-    vocabulary = F.broadcast(wanted.select("term").distinct())
-    said = chunks.select("id", "source", terms(F.coalesce(F.col(field), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
-    totals = said.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()  # a subquery of one row
-    hits = said.select("id", "source", "dl", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("id", "source", "term", "dl").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # Both sides have at most one row a term of the checked queries.
-    scored = hits.where(in_scope(F.col("source"), scopes)).join(F.broadcast(df), "term").join(wanted, "term").withColumn("t", totals).select("*", "t.*")
-    return scored.withColumn("part", part).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    wanted = bounded(_asked_terms(queries), MAX_TERMS, "terms of queries")
+    field = lambda f: F.struct(F.lit(f).alias("field"), terms(F.coalesce(F.col(f), F.lit(""))).alias("terms"))
+    said = chunks.select("id", "source", F.explode(F.array(field("text"), field("title"))).alias("x")).select("id", "source", "x.field", "x.terms").withColumn("dl", F.size("terms"))
+    totals = said.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = said.select("id", "source", "field", "dl", F.explode("terms").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("id", "source", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    return _scored(hits, wanted, totals, scopes)
+
+
+def stored_bm25(listed: DataFrame, totals: DataFrame, queries: DataFrame, scopes: list[str] | None = None) -> DataFrame:
+    """:func:`bm25` from stored postings, which lie by term within each file: no text is read."""
+    wanted = bounded(_asked_terms(queries), MAX_TERMS, "terms of queries")
+    hits = listed.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    return _scored(hits, wanted, totals, scopes)
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, fetch: int, scopes: list[str] | None = None) -> DataFrame:
-    """``(query_id, id, bm25, key_rank)``: text and title are scored apart; the larger counts."""
-    both = bm25(chunks, queries, "text", scopes).unionByName(bm25(chunks, queries, "title", scopes))
-    best = both.groupBy("query_id", "id").agg(F.max("score").alias("bm25"))
+def keyword_search(chunks: DataFrame, queries: DataFrame, fetch: int, scopes: list[str] | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(query_id, id, bm25, key_rank)``: text and title are scored apart; the larger counts.  With an
+    ``index`` of stored postings and totals, ``chunks`` is not read."""
+    best = stored_bm25(*index, queries, scopes) if index else bm25(chunks, queries, scopes)
     order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "id")
     return best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch).withColumn("key_rank", F.col("n") - 1).drop("n")
 
@@ -134,10 +152,10 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K, weight: float = 0.6, scopes: list[str] | None = None, max_distance: float | None = None, grouping: str | None = None, max_files: int | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K, weight: float = 0.6, scopes: list[str] | None = None, max_distance: float | None = None, grouping: str | None = None, max_files: int | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(query_id, place, id, source, title, chunk_index, text, parent_id, score, distance)``.
 
-    ``queries`` has ``query_id, text, vector``.  The order of the filters is fixed: distance,
+    ``queries`` has ``query_id, text, vector``; ``index`` is what the store keeps for keywords.  The order of the filters is fixed: distance,
     groups, files, top k.
     """
     if top_k < 1:
@@ -145,7 +163,7 @@ def search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K, we
     top_k = min(top_k, MAX_TOP_K)
     n = fetch_size(top_k)
     vectors = vector_search(chunks, queries, n, scopes)
-    keywords = keyword_search(chunks, queries, n, scopes) if weight > 0 else None
+    keywords = keyword_search(chunks, queries, n, scopes, index) if weight > 0 else None
     hits = within_distance(fuse(vectors, keywords, weight), max_distance)
     if grouping:
         hits = near_groups(hits, grouping)

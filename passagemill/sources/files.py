@@ -222,6 +222,16 @@ def read_files(spark: SparkSession, entries: DataFrame, max_file_size: int) -> D
     return wanted.repartition(F.col("path")).mapInArrow(load, "path string, content binary")
 
 
+def still_there(paths: DataFrame) -> DataFrame:
+    """``(source)``: those of a table of paths that are files, as the executors see them."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([os.path.isfile(p) for p in batch.column(0).to_pylist()], type=pa.bool_()))
+
+    return paths.select("source").where("source is not null").mapInArrow(test, "source string")
+
+
 def assemble_lines(boxes: Sequence, texts: Sequence[str]) -> str:
     """Reading order of recognised line boxes: rows by the height of their centres, then left to
     right.  A row ends where a centre lies more than half the median height (1 at least) below that

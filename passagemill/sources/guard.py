@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ipaddress
 import os
+import socket
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as TooLate
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -17,6 +20,20 @@ class SecurityError(Exception):
     """A URL or path that must not be touched."""
 
 
+class URLResolutionError(Exception):
+    """A host name that has no address: a failed fetch, not a refused one."""
+
+
+class BlockedFetchError(SecurityError):
+    """A refusal while fetching: of the URL itself or of one it led to."""
+
+    def __init__(self, url: str, reason: str):
+        super().__init__(f"{reason} (blocked URL: {url})")
+        self.url, self.reason = url, reason
+
+
+RESOLVE_SECONDS = 5.0
+
 #: In the order in which a verdict is given: the narrower kinds are private, too.
 KINDS = ("loopback", "link-local", "unspecified", "private", "reserved")
 
@@ -28,9 +45,43 @@ def blocked_kind(address: str) -> str | None:
     return next((k for k in KINDS if getattr(ip, "is_" + k.replace("-", "_"))), None)
 
 
+def resolve_host(host: str) -> list[str]:
+    """All addresses of a host name; the wait for them is bounded."""
+    pool = ThreadPoolExecutor(max_workers=1)
+    try:
+        found = pool.submit(socket.getaddrinfo, host, None, type=socket.SOCK_STREAM).result(timeout=RESOLVE_SECONDS)
+    except TooLate as e:
+        raise URLResolutionError(f"no answer for host {host!r} within {RESOLVE_SECONDS:g} s") from e
+    except OSError as e:
+        raise URLResolutionError(f"host {host!r} cannot be resolved: {e}") from e
+    finally:
+        pool.shutdown(wait=False)
+    if not found:
+        raise URLResolutionError(f"host {host!r} has no address")
+    return [x[4][0] for x in found]
+
+
+def literal_address(host: str) -> str | None:
+    """The address a host is written as: dotted, IPv6, or one of the old forms (decimal, hexadecimal,
+    fewer parts) that name resolution takes as well; the name of this machine counts as its address."""
+    if host == "localhost" or host.endswith(".localhost"):
+        return "127.0.0.1"
+    try:
+        return str(ipaddress.ip_address(host.split("%")[0]))
+    except ValueError:
+        pass
+    parts = host.rstrip(".").split(".")
+    if all(p[:1].isdigit() for p in parts) and host.isascii():
+        try:
+            return socket.inet_ntoa(socket.inet_aton(host.rstrip(".")))
+        except OSError:
+            return None
+    return None
+
+
 def verdict(url: str | None, allow_private: bool = False, resolve: Callable[[str], Sequence[str]] | None = None) -> str:
-    """``ok``, or why the URL is refused.  Names are only judged where a resolver is given; one bad
-    address of several refuses."""
+    """``ok``, or why the URL is refused.  Names other than this machine's are only judged where a
+    resolver is given; one bad address of several refuses."""
     try:
         parts = urlsplit(url or "")
         scheme, host = parts.scheme.lower(), parts.hostname
@@ -42,16 +93,14 @@ def verdict(url: str | None, allow_private: bool = False, resolve: Callable[[str
         return "ok"
     if not host:
         return "no host"
-    host = unicodedata.normalize("NFKC", host).replace("。", ".")  # as name resolution reads full-width digits and dots
-    try:
-        kind = blocked_kind(host)
-    except ValueError:
-        kinds = (blocked_kind(a) for a in (resolve(host) if resolve else ()))
-        kind = next((k for k in kinds if k), None)
+    host = unicodedata.normalize("NFKC", host).replace("。", ".").lower()  # as name resolution reads full-width digits and dots
+    written = literal_address(host)
+    kind = next((k for k in map(blocked_kind, [written] if written else resolve(host) if resolve else []) if k), None)
     return f"{kind} address" if kind else "ok"
 
 
-def check_url(url: str, allow_private: bool = False, resolve: Callable[[str], Sequence[str]] | None = None) -> None:
+def check_url(url: str, allow_private: bool = False, resolve: Callable[[str], Sequence[str]] | None = resolve_host) -> None:
+    """Refuse a URL that must not be fetched; names are resolved unless ``resolve`` is None."""
     found = verdict(url, allow_private, resolve)
     if found != "ok":
         raise SecurityError(f"refusing {url!r}: {found}")

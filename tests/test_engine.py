@@ -223,3 +223,98 @@ def test_sources_in_any_script_get_a_verdict(spark, tmp_path):
     spark.createDataFrame([(s,) for s in [*said, None, ""]], "source string").write.parquet(str(tmp_path / "chunks.parquet"))
     got = queries.queries()["url_guard_all"](spark, str(tmp_path)).collect()
     assert {r["url"]: r["verdict"] for r in got} == said and len(got) == len(said)
+
+
+def test_one_document_touches_its_part_only(engine):
+    for i in range(6):
+        engine.ingest_data(f"Herons stand in pond {i}.", f"note-{i}", "markdown")
+    before = engine.store._manifest()["held"]
+    engine.ingest_data("Otters swim.", "note-3", "markdown")
+    after = engine.store._manifest()["held"]
+    mine = str(engine.spark.range(1).select(engine.store.part_of(F.lit("note-3"))).first()[0])
+    assert len(before) > 2 and {k for k in after if after[k] != before.get(k)} == {mine}
+    assert "Otters" in engine.read_document("note-3") and engine.store.read().count() == 6
+    assert engine.delete("note-3") == 1 and engine.get_source("note-3") is None and engine.get_source("note-4")["chunk_count"] == 1
+    assert [r["chunk_index"] for r in engine.all_chunks("note-4").collect()] == [0]
+    held = engine.store._manifest()
+    names = {x["rows"].split("/")[0] for x in held["held"].values()} | set(held["before"])
+    assert {d for d in os.listdir(engine.config.index_path) if d.startswith("data-")} <= names
+
+
+def test_keyword_search_reads_stored_postings(engine):
+    engine.ingest_data("Herons fish at dawn.", "a", "markdown", "Birds")
+    engine.ingest_data("Otters fish at night, fish by fish.", "b", "markdown", "Herons and others")
+    asked = engine.spark.createDataFrame([(0, "herons fish"), (1, "night"), (2, "none")], "query_id int, text string")
+    from passagemill.operators import search
+
+    stored = search.keyword_search(engine.store.read(), asked, 50, index=engine.store.postings())
+    fresh = search.keyword_search(engine.store.read(), asked, 50)
+    rows = lambda df: sorted((r["query_id"], r["id"], round(r["bm25"], 9), r["key_rank"]) for r in df.collect())
+    assert rows(stored) == rows(fresh) and len(rows(stored)) == 3
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan.split("Scan parquet")[1].split("\n")[0] and "/rows/" not in plan
+
+
+def test_titles_of_data(engine):
+    engine.ingest_data("Preface\n\n```\n# code\n```\n\n# River life\n\nHerons.", "n1", "markdown")
+    engine.ingest_data("Only text.", "n2", "text")
+    engine.ingest_data("<body><h1>Tax</h1><p>Rates.</p></body>", "n3", "html")
+    got = {s: engine.get_source(s)["title"] for s in ("n1", "n2", "n3")}
+    assert got == {"n1": "River life", "n2": "n2", "n3": "Tax"}
+
+
+def test_data_images_stay_in_fences(spark):
+    text = "![ a b ](data:image/png;base64,xx) and ![x](http://x/y.png)\n```\n![c](data:image/png;base64,yy)\n```\n![d](data:z)"
+    only = "![](data:image/png;base64,xx)"
+    split = "![a\n](data:image/png;base64,xx)"
+    rows = spark.createDataFrame([(text,), (only,), (split,), ("~~~\n![e](data:q)",)], "t string").select(titles.strip_data_images(F.col("t")).alias("t"))
+    assert [r["t"] for r in rows.collect()] == ["a b and ![x](http://x/y.png)\n```\n![c](data:image/png;base64,yy)\n```\nd", only, split, "~~~\n![e](data:q)"]
+
+
+@pytest.mark.parametrize("url", ["http://localhost/x", "http://a.localhost", "http://2130706433/", "http://0x7f.1/", "http://127.1", "http://LOCALHOST:8080/", "http://１２７.0.0.1/"])
+def test_names_of_this_machine_are_refused(url):
+    assert guard.verdict(url) == "loopback address"
+    with pytest.raises(guard.SecurityError):
+        guard.check_url(url)
+
+
+def test_names_are_resolved_and_redirects_checked(engine, monkeypatch):
+    monkeypatch.setattr(guard.socket, "getaddrinfo", lambda host, *a, **k: [(0, 0, 0, "", ("10.0.0.7" if host == "inner" else "93.184.216.34", 0))] if host != "gone" else (_ for _ in ()).throw(OSError("no")))
+    with pytest.raises(guard.SecurityError, match="private"):
+        guard.check_url("http://inner/x")
+    with pytest.raises(guard.URLResolutionError):
+        guard.check_url("http://gone/x")
+    guard.check_url("http://outer/x")
+    from passagemill.sources import fetch
+
+    handler = fetch._CheckedRedirects(lambda u: guard.check_url(u))
+    with pytest.raises(guard.SecurityError):
+        handler.redirect_request(None, None, 302, "", {}, "http://inner/secret")
+    with pytest.raises(guard.BlockedFetchError):
+        fetch.fetch("http://inner/x")
+    monkeypatch.undo()
+    assert engine.ingest_url("http://outer/p", fetch=lambda u: "<title>Pond</title><p>Herons.</p>", resolve=lambda host: ["93.184.216.34"]) == 1
+
+
+def test_files_without_a_reader_are_kept(engine, spark):
+    kept = write(engine, "scan.png", "x")
+    engine.store.replace(engine.rows(engine._titled(spark.createDataFrame([(kept, "file", "Scan", "Text of the scan.")], "source string, source_type string, title string, markdown string"))).drop("error"), spark.createDataFrame([(kept,)], "source string"))
+    counts, errors = engine.sync()
+    assert (counts["unreadable"], counts["deleted"]) == (1, 0) and errors[0]["source"] == kept
+    assert {(r["source"], r["state"]) for r in engine.list_files().collect()} == {(kept, "unreadable")}
+    os.remove(kept)
+    assert engine.sync()[0]["deleted"] == 1
+
+
+def test_a_touched_file_is_ingested_still(engine):
+    path = write(engine, "a.md", "# A\n\nText.")
+    engine.sync()
+    os.utime(path, (5, 5))
+    assert [r["state"] for r in engine.list_files().collect()] == ["ingested"]
+
+
+def test_status_always_answers(engine):
+    assert engine.status()["chunks"] == 0
+    engine.ingest_data("Text.", "n")
+    os.rename(engine.config.index_path + "/" + engine.store._manifest()["held"].popitem()[1]["rows"].split("/")[0], engine.config.index_path + "/lost")
+    assert "error" in engine.status()
