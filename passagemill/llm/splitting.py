@@ -30,6 +30,12 @@ _BREAKS = (
 )
 
 
+def surely_over(count, characters: int, limit: int) -> bool:
+    """Whether a text of so many characters has more tokens than the limit, whatever it says."""
+    longest = getattr(count, "longest", None)
+    return longest is not None and characters > longest * limit
+
+
 def units(text: str, count, room: int) -> list[tuple[int, int, int, int]]:
     """``(start, end, tokens, level)``: consecutive slices of ``text`` of at most ``room`` tokens
     each, cut at the coarsest separators that allow it; ``level`` is that of the cut before.
@@ -45,7 +51,7 @@ def units(text: str, count, room: int) -> list[tuple[int, int, int, int]]:
     edges = [0, *sorted(level_at), len(text)]
     # A space counts with the word after it, as in the whole text, so that the counts add up.
     counted = [0, *(e - (text[e - 1] == " ") for e in edges[1:-1]), len(text)]
-    sizes = [count(text[x:y]) if y - x <= 40 * room else room + 1 for x, y in zip(counted[:-1], counted[1:], strict=True)]
+    sizes = [room + 1 if surely_over(count, y - x, room) else count(text[x:y]) for x, y in zip(counted[:-1], counted[1:], strict=True)]
     total = [0]
     for n in sizes:
         total.append(total[-1] + n)
@@ -72,7 +78,7 @@ def _finer(text: str, count, room: int, start: int, end: int, cut: int) -> list[
         todo = [(lo, hi, WORD if lo > start else cut)]
         while todo:
             a, b, level = todo.pop()
-            size = count(text[a:b]) if b - a <= 40 * room else room + 1
+            size = room + 1 if surely_over(count, b - a, room) else count(text[a:b])
             if size <= room or b - a == 1:
                 out.append((a, b, size, level))
                 continue
@@ -91,7 +97,7 @@ def pieces(text: str, count, limit: int, overlap: int) -> list[tuple[int, int, i
         return []
     overlap = max(0, min(overlap, limit // 2))
     parts = units(text, count, max(1, limit - overlap)) if len(text) > 4 * limit else []
-    if sum(p[2] for p in parts) <= 1.1 * limit:  # else it is over the limit whatever the sum is off by
+    if not _opening_over(text, count, parts, limit):
         size = count(text)
         if size <= limit:
             return [(0, len(text), size)]
@@ -121,6 +127,17 @@ def pieces(text: str, count, limit: int, overlap: int) -> list[tuple[int, int, i
     return out
 
 
+def _opening_over(text: str, count, parts: list[tuple[int, int, int, int]], limit: int) -> bool:
+    """Whether the opening of a text, of about twice the limit, shows that the whole is over it: what
+    follows can change the tokens of its last unit, but no others."""
+    total = 0
+    for start, end, size, _ in parts:
+        total += size
+        if total >= 2 * limit:
+            return bool(text[start:end].strip()) and count(text[:start]) > limit
+    return False
+
+
 def _overlap_start(text: str, count, floor: int, end: int, overlap: int) -> int:
     """Where the overlap before ``end`` begins: the earliest sentence start within reach, else the
     earliest word start, else the earliest character."""

@@ -27,10 +27,14 @@ def encoding(path: str):
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[str], int]:
-    """The number of tokens of a text."""
+    """The number of tokens of a text; its attribute ``longest``, where it has one, is how many
+    characters a token holds at most."""
     if path.endswith(".tiktoken"):
-        encode = encoding(path).encode_ordinary
-        return lambda text: len(encode(text))
+        known = encoding(path)
+        encode = known.encode_ordinary
+        count = lambda text: len(encode(text))
+        count.longest = max(map(len, known.token_byte_values()))  # bytes, of which a character has one at least
+        return count
     if path.endswith(".model"):
         import sentencepiece
 

@@ -1,7 +1,8 @@
 """Near-duplicate records: an exact similarity join on sets of words or of word shingles.
 
-Records with the same set form one class and are joined once.  Every set is ordered rare-first,
-and only the prefix that a partner must touch is indexed.  A pair that meets in a prefix must pass
+Records with the same set form one class and are joined once.  Every set is ordered rare-first by a
+count-min sketch of fixed size, which knows every element however many there are (a count that is
+too high changes only the order, which is the same for all sets), and only the prefix that a partner must touch is indexed.  A pair that meets in a prefix must pass
 the length filter, the positional filter and a suffix filter (the Hamming distance of two 128-bit
 bitmaps never exceeds that of the sets); what remains is verified once on the whole sets.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from passagemill.llm.common import pick, stored
 
 WORD = re.compile(r"[^\W_]+")
-COMMON_WORDS = 50_000  #: so many of the most frequent elements get their exact rank; the rest count as rare
+SKETCH = 1 << 20  #: counters in each of two rows: element counts are known to the larger of what shares them
 BLOCK_ROWS = 16_384  #: the index of an element that more records hold is cut into blocks of about this many
 TILE_CELLS = 500_000
 INDEX, PROBE, BOTH = range(3)
@@ -44,6 +45,11 @@ def elements(text: str, shingle: int) -> set[str]:
     return {" ".join(found[i : i + shingle]) for i in range(len(found) - shingle + 1)}
 
 
+def counters(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters of the sketch that count an element."""
+    return hashes % SKETCH, SKETCH + (hashes >> 24) % SKETCH
+
+
 def least_overlap(n: int, m: int, threshold: float) -> int:
     return math.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
 
@@ -86,26 +92,26 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
     classes = sets.groupBy("class").agg(F.first("set").alias("set"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * SKETCH, dtype=np.int64)
         for batch in batches:
-            h, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+            for slot in counters(batch.column(0).flatten().to_numpy()):
+                total += np.bincount(slot, minlength=2 * SKETCH)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
-    frequent = sets.select("set").mapInArrow(counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    top = frequent.orderBy(F.col("n").desc(), "h").limit(COMMON_WORDS).toArrow()
-    order = np.argsort(top.column("h").to_numpy())
-    often = top.column("n").to_numpy()[order]
-    common = df.sparkSession.sparkContext.broadcast((top.column("h").to_numpy()[order], (len(order) - order).astype(np.int64), -(-often // BLOCK_ROWS)))
+    held = sets.select("set").mapInArrow(counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row a counter at most
+    sketch = np.zeros(2 * SKETCH, dtype=np.int64)
+    sketch[held.column("slot").to_numpy()] = held.column("n").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def to_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank, blocks = common.value
+        sketch = shared.value
         for batch in batches:
             lists = batch.column(1)
             values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            ranks, cut = np.zeros(len(values), dtype=np.int64), np.ones(len(values), dtype=np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                hit = known[at] == values
-                ranks[hit], cut[hit] = rank[at[hit]], blocks[at[hit]]
+            one, other = counters(values)
+            ranks = np.minimum(sketch[one], sketch[other])
+            cut = -(-ranks // BLOCK_ROWS)
             n = np.diff(offsets).astype(np.int64)
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((values, ranks, owner))
