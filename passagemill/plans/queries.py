@@ -42,6 +42,11 @@ CURRENT = """cur AS (SELECT * EXCLUDE (parent_id, ocr_engine, scheme_version, nt
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) AS nth FROM chunks) WHERE nth = 1)"""
 
 
+# A fold over lines: the open fence, a mark, and the text so far with images outside fences stripped.
+_FENCE_STEP = r"""(CASE WHEN split_part(acc, chr(2), 1) = '' THEN regexp_extract(x, '^[ \t]*(`{3,}|~{3,})', 1) WHEN starts_with(ltrim(x, ' ' || chr(9)), split_part(acc, chr(2), 1)) THEN '' ELSE split_part(acc, chr(2), 1) END)
+ || substr(acc, strpos(acc, chr(2))) || chr(10) || (CASE WHEN split_part(acc, chr(2), 1) = '' AND NOT regexp_matches(x, '^[ \t]*(`{3,}|~{3,})') THEN regexp_replace(x, '!\[[ \t]*([^\]\n]*?)[ \t]*\]\([ \t]*data:[^)\n]*\)', '\1', 'g') ELSE x END)"""
+
+
 # ---- scalar functions -----------------------------------------------------------------------------
 
 
@@ -53,14 +58,6 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tokens.estimate_column(F.col("text")).alias("tokens"))
 
 
-@query(
-    r"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS INTEGER) AS sentences FROM documents"""
-)
-def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.filter(F.split("text", r"(?<=[.!?…])\s+"), lambda x: F.trim(x) != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("sentences"))
-
-
 @query(
     """SELECT doc_id, list_transform([1, 9, 17, 25, 33, 41, 49, 57], lambda i: round(v[CAST((i + 7) / 8 AS INTEGER)] / n, 6)) AS vector FROM (
   SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
@@ -86,11 +83,11 @@ def vector_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""SELECT doc_id, coalesce(h1, '') AS h1, strip_images, display, informative FROM (
   SELECT doc_id, nullif(regexp_extract(regexp_replace(regexp_replace(text, '(?s)(^|\n)[ \t]*```.*?(\n[ \t]*```[ \t]*(\n|$)|$)', chr(10), 'g'), '(?s)(^|\n)[ \t]*~~~.*?(\n[ \t]*~~~[ \t]*(\n|$)|$)', chr(10), 'g'), '(?m)^#[ \t]+(\S.*?)[ \t]*$', 1), '') AS h1,
-    length(regexp_replace(text, '!\[\s*([^\]]*?)\s*\]\(\s*data:[^)]*\)', '\1', 'g')) AS strip_images,
+    length(CASE WHEN trim(regexp_replace(stripped, '\s+', ' ', 'g')) = '' THEN text ELSE stripped END) AS strip_images,
     trim(regexp_replace(replace(coalesce(title, ''), '_', ' '), '\s+', ' ', 'g')) AS display,
     length(regexp_replace(coalesce(title, ''), '[\s_\-.]+', '', 'g')) >= 4 AND len(list_filter(regexp_extract_all(lower(coalesce(title, '')), '\p{L}+|\p{Nd}+'), lambda w: NOT regexp_matches(w, '^\p{Nd}+$')
-      AND w NOT IN ('untitled','document','documents','doc','docs','docx','index','readme','new','copy','of','scan','image','img','file','dsc','screenshot','report','снимок','документ','документа','документов','копия','копии','безымянный'))) > 0 AS informative
-  FROM documents)"""
+      AND w NOT IN ({GENERIC}))) > 0 AS informative
+  FROM (SELECT *, substr(folded, strpos(folded, chr(2)) + 2) AS stripped FROM (SELECT *, list_reduce(string_split(text, chr(10)), lambda acc, x: {STEP}, chr(2)) AS folded FROM documents)))""".replace("{GENERIC}", ", ".join(f"'{w}'" for w in titles.GENERIC_STEM_WORDS)).replace("{STEP}", _FENCE_STEP)
 )
 def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.coalesce("title", F.lit(""))
@@ -153,13 +150,23 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigate.neighbours(rows, rows.select("source", "chunk_index").distinct(), before=1, after=2)
 
 
-@query()
+# The rebuilding of texts as SQL: lines in common with the passage before go, then a fold that joins.
+_REJOINED = r"""u AS (SELECT *, string_split(text, chr(10)) AS l, lag(string_split(text, chr(10))) OVER (PARTITION BY {key} ORDER BY chunk_index, text) AS p FROM rows WHERE regexp_matches(text, '\S')),
+c AS (SELECT *, least(4, len(l) - 1, coalesce(len(p), 0)) AS most FROM u),
+s AS (SELECT *, CASE WHEN most >= 4 AND l[1:4] = p[1:4] THEN 4 WHEN most >= 3 AND l[1:3] = p[1:3] THEN 3 WHEN most >= 2 AND l[1:2] = p[1:2] THEN 2 WHEN most >= 1 AND l[1] = p[1] THEN 1 ELSE 0 END AS same FROM c),
+o AS (SELECT *, CASE WHEN p IS NULL THEN text ELSE regexp_replace(array_to_string(l[same + 1:], chr(10)), '^([^\S\n]*\n)+', '') END AS own FROM s),
+f AS (SELECT {key}, min(chunk_index) AS first, list_filter(list(own ORDER BY chunk_index, text), lambda x: x <> '' AND regexp_matches(x, '\S')) AS owns FROM o GROUP BY {key}),
+j AS (SELECT {key}, first, list_reduce(owns, lambda acc, x: rtrim(acc, chr(10)) || (CASE WHEN regexp_matches(string_split(rtrim(acc, chr(10)), chr(10))[-1], '^[ \t]*(?:\*\*[^*\n]{1,80}\*\*[ \t]+)?((?:\d{1,2}:)?\d{1,2}:\d{2})[ \t]*$')
+   OR (regexp_matches(string_split(rtrim(acc, chr(10)), chr(10))[-1], '^[ \t]*\|.*\|[ \t]*$') AND regexp_matches(string_split(x, chr(10))[1], '^[ \t]*\|.*\|[ \t]*$')) THEN chr(10) ELSE chr(10) || chr(10) END) || x) AS text FROM f WHERE len(owns) > 0)"""
+
+
+@query("WITH " + CURRENT + ",\nrows AS (SELECT parent_id, chunk_index, text FROM cur WHERE parent_id <> ''),\n" + _REJOINED.replace("{key}", "parent_id") + " SELECT parent_id, text FROM j")
 def parent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
     return navigate.parent_texts(rows, rows)
 
 
-@query()
+@query("WITH " + CURRENT + ",\nrows AS (SELECT source, CASE WHEN parent_id <> '' THEN parent_id ELSE '#' || id END AS part, chunk_index, text FROM cur),\n" + _REJOINED.replace("{key}", "source, part") + " SELECT source, first, text FROM j WHERE text <> ''")
 def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigate.document_parts(chunks(spark, sf_dir))
 
@@ -197,21 +204,6 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, category string")
 
 
-@query(
-    r"""SELECT doc_id, sec // 120 * 120 AS window_start, count(*) AS stamps FROM (
-  SELECT doc_id, CASE WHEN len(p) = 3 THEN p[1]::INT * 3600 + p[2]::INT * 60 + p[3]::INT ELSE p[1]::INT * 60 + p[2]::INT END AS sec FROM (
-    SELECT doc_id, string_split(regexp_extract(line, '^[ \t]*(?:\*\*[^*\n]{1,80}\*\*[ \t]+)?((?:\d{1,2}:)?\d{1,2}:\d{2})[ \t]*$', 1), ':') AS p FROM (
-      SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^[ \t]*(?:\*\*[^*\n]{1,80}\*\*[ \t]+)?((?:\d{1,2}:)?\d{1,2}:\d{2})[ \t]*$')))
-GROUP BY doc_id, sec // 120 * 120"""
-)
-def transcript_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    stamp = r"^[ \t]*(?:\*\*[^*\n]{1,80}\*\*[ \t]+)?((?:\d{1,2}:)?\d{1,2}:\d{2})[ \t]*$"
-    parts = F.reverse(F.split(F.regexp_extract("line", stamp, 1), ":"))
-    sec = F.get(parts, F.lit(0)).cast("int") + 60 * F.get(parts, F.lit(1)).cast("int") + 3600 * F.coalesce(F.get(parts, F.lit(2)).cast("int"), F.lit(0))
-    return lines.where(F.col("line").rlike(stamp)).select("doc_id", (F.floor(sec / 120) * 120).cast("int").alias("window_start")).groupBy("doc_id", "window_start").agg(F.count("*").alias("stamps"))
-
-
 # ---- search ---------------------------------------------------------------------------------------
 # Queries: the rows of embeddings and documents whose id is divisible by 50, against all rows.
 
