@@ -2,16 +2,18 @@
 
 A text is read into leaves: stretches that stand on their own, each with the path of markup around
 it.  A recurrent labeller (a bidirectional LSTM in numpy) reads the whole sequence of leaves of a
-document, each as a vector of its tag path, its shape and its hashed words, and gives each leaf a
-kind: heading, paragraph, list, code, formula, table, or none (comments, scripts, anchors, labels,
+document, each as a vector of its tag path, the signs its lines begin with and its hashed words, and
+gives each leaf a kind: heading, paragraph, list, code, formula, table, or none (comments, scripts, anchors, labels,
 templates standing alone).  Leaves are cleaned of their markup and put together by kind.
 
-The labeller is trained where it runs, on documents made up in the four notations.
+The labeller is fitted on documents made up in the four notations; the weights are kept in a file
+beside this one (``python -m passagemill.llm.models`` fits them again).
 """
 
 from __future__ import annotations
 
 import html
+import os
 import random
 import re
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import pick
+from passagemill.llm.common import pick, spread
 
 KINDS = ["paragraph", "heading", "list", "code", "formula", "table", "none"]
 #: Whether a text holds markup at all (checked in the JVM, before any Python).
@@ -44,10 +46,11 @@ _ENVIRONMENT = re.compile(r"^\s*\\begin\{([a-zA-Z*]+)\}")
 
 
 class Leaf:
-    __slots__ = ("text", "path")
+    __slots__ = ("text", "path", "seen")
 
     def __init__(self, text: str, path: str):
         self.text, self.path = text, path
+        self.seen: list[int] | None = None  # its vector's positions, once asked for
 
 
 def leaves(text: str) -> list[Leaf]:
@@ -266,36 +269,40 @@ def _end_of(text: str, m: re.Match, name: str) -> int:
 
 # ---- vectors --------------------------------------------------------------------------------------
 
-FIXED, WIDTH = 512, 576  #: slots for path and shape, and all
-_SHAPES = (
-    ("hash", r"^ {0,3}#{1,6}\s"), ("equals", r"^=+.*=+\s*$"), ("item", r"^\s*(?:[-+*•]|\d{1,3}[.)])\s"), ("witem", r"^[*#]{1,4}\s"), ("pipe", r"^\s*\|"), ("env", r"\\begin\{"),
-    ("math", r"\$\$|\\\[|\\\]|\\frac|\\sum|\\sqrt|\\le\b|\\cdot|\\times|<math|class=\"math\"|_\{|\^2"), ("code", r"```|~~~|<pre|<code|<source|<syntaxhighlight|lstlisting|verbatim|minted"),
-    ("li", r"<li\b|\\item"), ("row", r"<t[rdh]\b|\\\\\s*$|^\|-|&.*\\\\"), ("head", r"<h[1-6]\b|\\(?:sub)*section|^h[1-6]\."), ("drop", r"<!--|<script|<style|\\label|__[A-Z]+__|^\s*\{\{[^{}]*\}\}\s*$|^\[[^\]]+\]:\s|<a name|\[\[(?:Cat|Kat|Кат)"),
-    ("under", r"\n\s*(?:={3,}|-{3,})\s*$"), ("stop", r"[.!?…:]['\"»)]*\s*(?:</\w+>)*\s*$"), ("tags", r"^\s*<"), ("data", r"\S"), ("table", r"tabular|<table|\{\|"), ("list", r"itemize|enumerate|<[uo]l\b|description"),
-)
-_HASH = re.compile(r"^\s*(#{1,6})\s+(.*?)\s*(#*)\s*$")
-_COMPILED = [(n, re.compile(p, re.IGNORECASE | re.MULTILINE)) for n, p in _SHAPES]
+WIDTH = 2_048  #: slots of hashed words, signs and tag paths
+_TAGS = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)|\\begin\{([a-zA-Z]+)|<(!--)")
+_WORDS = re.compile(r"\\?[^\W\d_]+|\d+|[^\w\s]+")
+
+
+def _sign(line: str) -> str:
+    """How a line begins: its first signs with letters and digits as kinds, whether it is indented."""
+    bare = line.strip()
+    head = re.match(r"[^\w\s]{1,4}|\d+[.)]?|\\?[^\W\d_]+", bare)
+    start = head.group() if head else ""
+    kind = "a" if start[:1].isalpha() else "9" + start[-1:] if start[:1].isdigit() else start
+    return f"{'>' if line[:1].isspace() else ''}{kind}{' ' if bare[len(start) : len(start) + 1] == ' ' else ''}"
 
 
 def slots(leaf: Leaf) -> list[int]:
-    """The positions that are 1 in a leaf's vector: path, shape, length and hashed words."""
+    """The positions that are 1 in a leaf's vector: its tag path, how its lines begin and end, its
+    length, and all of its words and signs, hashed."""
+    if leaf.seen is not None:
+        return leaf.seen
     text = leaf.text
-    names = [f"path={leaf.path}", f"len={min(8, len(text) // 40)}", f"lines={min(5, text.count(chr(10)))}"]
-    names += [f"shape={n}" for n, p in _COMPILED if p.search(text)]
-    if leaf.path == "hash":
-        mark, said, end = _HASH.match(text).groups()
-        names.append(f"hash={'many' if len(mark) > 1 else 'one'}|{'closed' if end else ''}|{'code' if re.search(r'[A-Z]{2,}[-/ ]?\d*/?$', said) or re.search(r'\d{2,}$', said) else 'name'}|{min(3, len(said) // 30)}")
-    bare = re.sub(r"<[^<>]*>", " ", text).strip()
-    names.append(f"bare={'empty' if not bare else 'short' if len(bare) < 70 else 'long'}")
-    fixed = [xxhash.xxh3_64_intdigest(x) % FIXED for x in names]
-    words = [FIXED + xxhash.xxh3_64_intdigest(w.lower()) % (WIDTH - FIXED) for w in re.findall(r"\\?[a-zA-Z]{2,}|[{}|=<>*#$&;]", text[:60])[:6]]
-    return sorted({*fixed, *words})
+    lines = [x for x in text.split("\n") if x.strip()] or [""]
+    tags = [next(filter(None, t)).lower() for t in _TAGS.findall(text)]
+    names = [f"path={'/'.join(tags[:n])}" for n in (1, 2)] + [f"tag={t}" for t in set(tags[:12])]
+    names += [f"first={_sign(lines[0])}", f"last={_sign(lines[-1])}", *{f"line={_sign(x)}" for x in lines[1:40]}]
+    names += [f"end={text.rstrip()[-1:] if not text.rstrip()[-1:].isalnum() else 'a'}", f"chars={min(8, len(text) // 40)}", f"lines={min(4, len(lines))}"]
+    names += [f"w={w.lower()[:24]}" if not w[0].isdigit() else "w=9" for w in set(_WORDS.findall(text))]
+    leaf.seen = sorted({xxhash.xxh3_64_intdigest(x) % WIDTH for x in names})
+    return leaf.seen
 
 
 class Labeller:
     """A bidirectional LSTM over leaves with a softmax at each, in numpy."""
 
-    def __init__(self, hidden: int = 20, seed: int = 7):
+    def __init__(self, hidden: int = 24, seed: int = 7):
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.hidden = hidden
@@ -305,7 +312,6 @@ class Labeller:
             self.p[f"u{d}"] = draw(hidden, 4 * hidden)
             self.p[f"b{d}"] = np.zeros(4 * hidden, dtype=np.float32)
         self.p["wo"] = draw(2 * hidden, len(KINDS))
-        self.p["wx"] = np.zeros((WIDTH, len(KINDS)), dtype=np.float32)
         self.p["bo"] = np.zeros(len(KINDS), dtype=np.float32)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
@@ -330,7 +336,7 @@ class Labeller:
         fwd, ft = self._run(x, mask, "f")
         bwd, bt = self._run(x, mask, "b")
         both = np.concatenate([fwd, bwd], axis=2)
-        return both @ self.p["wo"] + x @ self.p["wx"] + self.p["bo"], (both, ft, bt)
+        return both @ self.p["wo"] + self.p["bo"], (both, ft, bt)
 
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, past: dict, rate: float) -> float:
         """One step of back-propagation through time with Adagrad; the loss before it."""
@@ -343,7 +349,8 @@ class Labeller:
         dz = prob
         dz[rows, cols, y] -= 1
         dz *= mask[:, :, None] / n
-        g = {"wo": np.einsum("nth,ntk->hk", both, dz), "wx": np.einsum("ntw,ntk->wk", x, dz), "bo": dz.sum(axis=(0, 1))}
+        flat = x.reshape(-1, x.shape[2]).T
+        g = {"wo": np.einsum("nth,ntk->hk", both, dz), "bo": dz.sum(axis=(0, 1))}
         dboth = dz @ self.p["wo"].T
         for d, trace, part in (("f", ft, dboth[:, :, :h]), ("b", bt, dboth[:, :, h:])):
             dw_in = np.zeros((n, steps, 4 * h), dtype=np.float32)
@@ -358,7 +365,7 @@ class Labeller:
                 du += state.T @ dzt
                 ds = ds * (1 - m) + dzt @ self.p[f"u{d}"].T
                 dc = dc * (1 - m) + dnew * f
-            g[f"w{d}"], g[f"u{d}"], g[f"b{d}"] = np.einsum("ntw,ntk->wk", x, dw_in), du, dw_in.sum(axis=(0, 1))
+            g[f"w{d}"], g[f"u{d}"], g[f"b{d}"] = flat @ dw_in.reshape(-1, 4 * h), du, dw_in.sum(axis=(0, 1))
         for k, v in g.items():
             past[k] = past.get(k, 1e-6) + v**2
             self.p[k] -= rate * v / np.sqrt(past[k])
@@ -368,8 +375,13 @@ class Labeller:
         """The kinds of the leaves of each document; documents of like length go together."""
         out: list[list[int]] = [[] for _ in docs]
         order = sorted((i for i, d in enumerate(docs) if d), key=lambda i: len(docs[i]))
-        for lo in range(0, len(order), 64):
-            part = order[lo : lo + 64]
+        lo = 0
+        while lo < len(order):
+            many = 1
+            while many < 64 and lo + many < len(order) and (many + 1) * len(docs[order[lo + many]]) <= 4_000:
+                many += 1
+            part = order[lo : lo + many]
+            lo += many
             x, mask = batch_of([docs[i] for i in part])
             best = self.scores(x, mask)[0].argmax(axis=2)
             for row, i in enumerate(part):
@@ -414,7 +426,7 @@ def _made_up(rng: random.Random) -> str:
         return " ".join(w) + rng.choice([".", ".", ".", "?", " (Abc, 12)."])
 
     formula = rng.choice([f"E = {rng.randint(1, 99)} \\cdot k_{{{word()}}}^2 - {rng.randint(1, 99)}", f"\\sum_{{i=1}}^{{{rng.randint(1, 99)}}} x_i \\le 7", f"R_{{{word()}}} = \\frac{{3}}{{1 + r}}", f"\\sqrt{{a^2 + 11}} > b", "D_t = D_0 - t \\times 12 / 23"])
-    snippet = rng.choice([f"{word()} = fetch(\"{word()}\", limit=12)\n# keep the newest\n{word()}.sort(key=lambda x: -x[9 % 7])", f"SELECT {word()}, SUM({word()}) FROM ledger_1 WHERE {word()} > 5 GROUP BY {word()};", f"#!/bin/sh\ncp -r /srv/{word()} /srv/{word()}\necho \"moved 7\"", f"<config name=\"{word()}\">\n  <limit>5</limit>\n</config>", f"for row in load('{word()}.csv'):\n    if row['a'] < 3:\n        report(row)"])
+    snippet = rng.choice([f"{word()} = fetch(\"{word()}\", limit=12)\n# keep the newest\n{word()}.sort(key=lambda x: -x[9 % 7])", f"SELECT {word()}, SUM({word()}) FROM ledger_1 WHERE {word()} > 5 GROUP BY {word()};", f"#!/bin/sh\ncp -r /srv/{word()} /srv/{word()}\necho \"moved 7\"", f"<config name=\"{word()}\">\n  <limit>5</limit>\n</config>", f"for row in load('{word()}.csv'):\n    if row['a'] < {rng.randint(1, 99)}:\n        report(row)", f"{{\n  \"{word()}\": {rng.randint(1, 99999)},\n  \"{word()}\": [{rng.randint(1, 99)}, 3]\n}}", f"if {word()} > {rng.randint(1, 99)}:\n    {word()}({word()}, '{word()}')\nelse:\n    {word()} += 1", f"{word()} {{\n  {word()}: {rng.randint(1, 99)}px;\n}}", f"$ {word()} --{word()} {rng.randint(1, 99)}"])
     rows = [[words(1, 3), code(), rng.choice([word(), "NaN", "12"])] for _ in range(rng.randint(2, 5))]
     items = [f"{words(3, 8).capitalize()} {code()}" for _ in range(rng.randint(1, 5))]
     title = rng.choice(["", f"{rng.randint(1, 9)}.{rng.randint(1, 9)} ", f"{rng.randint(1, 12)}. "]) + words(2, 5).capitalize()
@@ -446,8 +458,8 @@ def _made_up(rng: random.Random) -> str:
             return f"\\begin{{{tag}}}\n" + "\n".join(f"  \\item {x}" for x in items) + f"\n\\end{{{tag}}}"
         if kind == "code":
             if note == "markdown":
-                f = rng.choice(["```", "~~~", "```python"])
-                return f"{f}\n{snippet}\n{f[:3]}"
+                f = rng.choice(["```", "~~~", "````", "~~~~", "`````"])
+                return f"{f}{rng.choice(['', '', 'python', 'sql', 'json', ' ' + word()])}\n{snippet}\n{f}"
             if note == "html":
                 return rng.choice(["<pre><code>{}</code></pre>", '<pre><code class="language-x">{}</code></pre>', "<pre>{}</pre>"]).format(html.escape(snippet))
             if note == "wiki":
@@ -469,7 +481,7 @@ def _made_up(rng: random.Random) -> str:
             if note == "wiki":
                 return '{| class="wikitable"\n! ' + " !! ".join(rows[0]) + "\n" + "\n".join("|-\n| " + " || ".join(r) for r in rows[1:]) + "\n|}"
             return "\\begin{tabular}{lll}\n" + " \\\\\n".join(" & ".join(r) for r in rows) + "\n\\end{tabular}"
-        return {"markdown": [f"[{rng.randint(1, 99)}]: https://wiki.x.example/x", f"<!-- Slide number: {rng.randint(1, 30)} -->", "<!-- exported 12 -->"], "html": ["<!-- exported 1832 -->", "<script>var q=5914;</script>", "<style>.c37590{margin:0}</style>", '<a name="a81109"></a>'], "wiki": ["__TOC__", f"{{{{Infobox|id={rng.randint(1, 99)}}}}}", f"[[Category:{word()}]]", "<!-- note -->"], "latex": ["\\label{sec:157}", "% note", "\\centering", f"\\label{{tab:{word()}}}"]}[note][rng.randrange(3)]
+        return rng.choice({"markdown": ["[TOC]", "---", "* * *", f"[{word()}]: <https://x.example/{word()}> \"{word()}\"", f"[{rng.randint(1, 99)}]: https://wiki.x.example/x", f"<!-- Slide number: {rng.randint(1, 30)} -->", f"<!-- {words(1, 3)} {rng.randint(1, 99999)} -->"], "html": [f"<!-- {words(1, 2)} {rng.randint(1, 99999)} -->", f"<script>var {word()}={rng.randint(1, 99999)};</script>", f"<style>.c{rng.randint(1, 99999)}{{margin:0}}</style>", f'<a name="a{rng.randint(1, 99999)}"></a>', f'<a name="{word()}"></a>', f'<meta name="{word()}" content="{word()}">', "<!DOCTYPE html>", f"<title>{words(1, 4)}</title>"], "wiki": ["__TOC__", "__NOTOC__", f"{{{{{word().capitalize()}}}}}", f"[[{rng.choice(['File', 'Image'])}:{word()}.png|thumb|{words(1, 3)}]]", f"[[{rng.choice(['Kategorie', 'Категория', 'Catégorie', 'Categoría', 'Категорія'])}:{word()}]]", f"{{{{Infobox|id={rng.randint(1, 99)}}}}}", f"[[Category:{word()}]]", "<!-- note -->"], "latex": [f"\\label{{sec:{rng.randint(1, 99999)}}}", f"% {words(1, 3)} {rng.randint(1, 9999)}", "\\centering", f"\\usepackage{{{word()}}}", f"\\usepackage[{word()}]{{{word()}}}", f"\\documentclass[11pt]{{{word()}}}", rng.choice(["\\maketitle", "\\tableofcontents", "\\newpage"]), f"\\bibliography{{{word()}}}", f"\\label{{tab:{word()}}}"]}[note])
 
     kinds = rng.choices(KINDS, [6, 2, 2, 1.3, 1.3, 1.5, 1.5], k=rng.randint(1, 9))
     mixed = rng.random() < 0.4
@@ -485,12 +497,25 @@ def _made_up(rng: random.Random) -> str:
     return glue.join(f"\x00{k}\x00{b}" for b, k in out)
 
 
+WEIGHTS = os.path.join(os.path.dirname(__file__), "markup_labeller.npz")
+
+
 @lru_cache(maxsize=1)
 def labeller() -> Labeller:
-    """The trained labeller; the same in every process."""
-    rng = random.Random(31)
+    """The labeller as :func:`trained` fits it, from the file in which its weights are kept; fitted anew
+    where the file is missing or of another shape."""
+    if os.path.exists(WEIGHTS):
+        kept, net = np.load(WEIGHTS), Labeller()
+        if all(k in kept and kept[k].shape == v.shape for k, v in net.p.items()):
+            net.p = {k: kept[k].astype(np.float32) for k in net.p}
+            return net
+    return trained()
+
+
+def made_up_leaves(rng: random.Random, many: int) -> list[tuple[list[Leaf], list[int]]]:
+    """Leaves of made-up documents with their kinds."""
     docs: list[tuple[list[Leaf], list[int]]] = []
-    while len(docs) < 4_000:
+    while len(docs) < many:
         marked = _made_up(rng)
         parts = re.split(r"\x00(\w+)\x00", marked)[1:]
         text = re.sub(r"\x00\w+\x00", "", marked)
@@ -507,17 +532,22 @@ def labeller() -> Labeller:
             place = start + 1
         if found:
             docs.append((found, kinds))
+    return docs
+
+
+def trained(many: int = 8_000, epochs: int = 8) -> Labeller:
+    """Fit the labeller on made-up documents; the same in every process."""
+    docs = sorted(made_up_leaves(random.Random(31), many), key=lambda d: len(d[0]))
     net, past = Labeller(), {}
     order = np.random.default_rng(3)
-    for epoch in range(6):
-        docs.sort(key=lambda d: len(d[0]))
+    for epoch in range(epochs):
         batches = [docs[i : i + 32] for i in range(0, len(docs), 32)]
         for b in order.permutation(len(batches)):
             x, mask = batch_of([d for d, _ in batches[b]])
             y = np.zeros(mask.shape, dtype=np.int64)
             for i, (_, k) in enumerate(batches[b]):
                 y[i, : len(k)] = k
-            net.step(x, mask, y, past, 0.1 if epoch < 4 else 0.03)
+            net.step(x, mask, y, past, 0.1 if epoch < epochs - 3 else 0.03)
     return net
 
 
@@ -607,7 +637,7 @@ def labelled_blocks(df: DataFrame, key_col: str, text_col: str, only_markup: boo
     rows = pick(df, key=key_col, text=text_col).where("key is not null and text is not null")
     if only_markup:
         rows = rows.where(F.col("text").rlike(HOLDS_MARKUP))
-    rows = rows.groupBy("key").agg(F.min("text").alias("text"))
+    rows = spread(rows, "key").groupBy("key").agg(F.min("text").alias("text"))
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

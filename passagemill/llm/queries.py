@@ -119,5 +119,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
 
+# By brute force; the others are tested against definitions on fixtures, since SQL cannot say them.
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+SQL = {
+    "p2_found": f"""WITH w AS (SELECT DISTINCT id, unnest({_WORDS}) AS w FROM (SELECT DISTINCT id, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL)),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+j AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM j JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9""",
+    "p5_found": """WITH v AS (SELECT id, any_value(CAST(vector AS DOUBLE[])) AS v FROM chunks WHERE id IS NOT NULL AND len(vector) = 64 AND list_sum(list_transform(vector, lambda x: abs(x))) > 0 GROUP BY id),
+r AS (SELECT a.id AS x, b.id AS y, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS nth FROM v a JOIN v b ON a.id <> b.id)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE nth <= 5""",
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS t FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT doc_id, {_WORDS} AS t FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, array_to_string(list_slice(t, k, k + 11), ' ') AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 10)) AS k FROM i)),
+h AS (SELECT DISTINCT doc_id, array_to_string(list_slice(t, k, k + 11), ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

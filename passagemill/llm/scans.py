@@ -9,6 +9,7 @@ mix up: every distinct word of the scanned texts is joined with the counts of al
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter
@@ -140,14 +141,19 @@ def _made_up_page(rng: random.Random) -> tuple[list[str], list[str]]:
     return lines, tags
 
 
+WEIGHTS = os.path.join(os.path.dirname(__file__), "scan_lines.npz")
+
+
 @lru_cache(maxsize=1)
 def line_model() -> Chain:
+    """The model of lines as :func:`fitted`, from the file in which its weights are kept, or fitted anew."""
+    return Chain.kept(WEIGHTS, LINE_TAGS) or fitted()
+
+
+def fitted() -> Chain:
     rng = random.Random(23)
-    examples = []
-    for _ in range(2_500):
-        lines, tags = _made_up_page(rng)
-        examples.append((line_features(lines), tags))
-    return Chain(LINE_TAGS).train(examples, epochs=5)
+    pages = [_made_up_page(rng) for _ in range(2_500)]
+    return Chain(LINE_TAGS).train([(line_features(lines), tags) for lines, tags in pages], epochs=5)
 
 
 # ---- words --------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ remembered, so that equal items are scored once."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -128,6 +129,24 @@ class Chain:
         return self
 
 
+    def keep(self, path: str) -> None:
+        """Write the fitted weights to a file."""
+        names = sorted(self.number, key=self.number.__getitem__)
+        np.savez_compressed(path, names=np.frombuffer("\0".join(names).encode(), dtype=np.uint8), weights=self.weights.astype(np.float32), moves=self.moves, first=self.first)
+
+    @classmethod
+    def kept(cls, path: str, labels: list[str], expand: Callable | None = None) -> Chain | None:
+        """The model of a file; None if there is none, or one with other labels."""
+        if not os.path.exists(path):
+            return None
+        found, model = np.load(path), cls(labels, expand)
+        if found["first"].shape != (len(labels),):
+            return None
+        model.number = {name: i for i, name in enumerate(found["names"].tobytes().decode().split("\0"), 1)}
+        model.weights, model.moves, model.first = found["weights"].astype(np.float64), found["moves"], found["first"]
+        return model
+
+
 def _marginals(emit: np.ndarray, moves: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of each label at each place, and the expected number of each move, of padded
     sequences (place, sequence, label)."""

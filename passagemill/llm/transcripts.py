@@ -1,7 +1,7 @@
 """Transcripts as clean, ordered speaker turns.
 
 Every line is a sequence of tokens.  A linear-chain conditional random field, trained here on lines
-made up in random layouts, tags each token as speaker, timestamp, annotation, filler, speech or
+made up in random layouts (its weights are kept in a file beside this one), tags each token as speaker, timestamp, annotation, filler, speech or
 separator; the tags of a line are decoded by Viterbi.  It sees shapes, brackets, the pieces a line
 falls into and how well a piece fits the names of the meeting, not a list of layouts or sounds.
 Utterances and their labels are read off the tags, labels are held against the names of the
@@ -11,6 +11,7 @@ turns.
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import unicodedata
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import pick, stored
+from passagemill.llm.common import pick, spread, stored
 from passagemill.llm.tagger import Chain
 
 TAGS = ["SPEAKER", "TIME", "ANNOTATION", "FILLER", "SPEECH", "SEPARATOR"]
 WINDOW_SECONDS = 120
-LINES_TOGETHER = 4_000  #: lines tagged in one go
+LINES_TOGETHER = 2_000  #: lines tagged in one go
 
 # Common hesitation sounds of the languages of the corpus.  They are one feature among
 # others and left out of half the training lines, so that other sounds are told by shape and place.
@@ -446,8 +447,16 @@ def examples(rng: random.Random, many: int, part: int = 0) -> list[tuple[list[tu
     return out
 
 
+WEIGHTS = os.path.join(os.path.dirname(__file__), "transcript_tagger.npz")
+
+
 @lru_cache(maxsize=1)
 def trained() -> Chain:
+    """The tagger as :func:`fitted`, from the file in which its weights are kept, or fitted anew without it."""
+    return Chain.kept(WEIGHTS, TAGS, expand) or fitted()
+
+
+def fitted() -> Chain:
     """The tagger, fitted on made-up lines; the same in every process."""
     return Chain(TAGS, expand).train(examples(random.Random(17), 4_500), epochs=4, batch=64)
 
@@ -685,7 +694,7 @@ def speaker_turns(sections: DataFrame, speakers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(j).take(take) for j in (0, 1, 2, 4)), *(pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True))], names=["parent_id", "source", "section_index", "window", "turn_no", "hour", "second", "speaker_no", "text"])
 
     rows = once.join(rosters, "source").select("parent_id", "source", F.col("section_index").cast("int"), "body", "window", "roster")
-    said = stored(rows.mapInArrow(read, "parent_id string, source string, section_index int, window string, turn_no int, hour int, second int, speaker_no int, text string"), "turns")
+    said = stored(spread(rows, "parent_id").mapInArrow(read, "parent_id string, source string, section_index int, window string, turn_no int, hour int, second int, speaker_no int, text string"), "turns")
 
     clock = F.reverse(F.split("window", ":"))
     start = F.when(F.col("window") != "", F.get(clock, F.lit(0)).cast("int") + 60 * F.get(clock, F.lit(1)).cast("int") + 3600 * F.coalesce(F.get(clock, F.lit(2)).cast("int"), F.lit(0)))

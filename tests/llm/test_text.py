@@ -183,6 +183,27 @@ def test_held_out_blocks():
     assert right / n > 0.9
 
 
+def test_kept_weights_are_those_of_the_fit():
+    """A short fit reads the same inputs; the kept models are of this code's features and labels."""
+    net = markup.trained(many=300, epochs=2)
+    assert {k: v.shape for k, v in net.p.items()} == {k: v.shape for k, v in markup.labeller().p.items()}
+    made = {f for items, _ in transcripts.examples(random.Random(2), 60) for x in items for f in transcripts.expand(x)}
+    assert len(made & set(transcripts.trained().number)) / len(made) > 0.8
+    pages = {f for x in scans.line_features(scans._made_up_page(random.Random(3))[0]) for f in x}
+    assert len(pages & set(scans.line_model().number)) / len(pages) > 0.9
+
+
+def test_the_document_decides_beside_the_leaf():
+    """A lone "# ..." is an item among wiki blocks and a heading among Markdown ones; alone it cannot be told."""
+    docs = markup.made_up_leaves(random.Random(91), 400)
+    net = markup.labeller()
+    whole = net.label([d for d, _ in docs])
+    alone = [[net.label([[x]])[0][0] for x in d] for d, _ in docs]
+    n = sum(len(k) for _, k in docs)
+    right = lambda got: sum(a == b for x, (_, k) in zip(got, docs, strict=True) for a, b in zip(x, k, strict=True)) / n
+    assert right(whole) > 0.985 and right(whole) > right(alone)
+
+
 @pytest.mark.parametrize("text", ["The check passes when x < 1320 and y > 41416.", "File a_b_8053.txt sits in C:\\temp\\a.", "Ticket #335 costs $ 49752.", "text\n\n- 19 -\n\nmore", "Ratio 4/7 ~ 1, see a & b", "Slot [38529] belongs to x; y waits at 14:35."])
 def test_signs_are_no_markup(spark, text):
     df = spark.createDataFrame([("a", text)], "k string, t string")
