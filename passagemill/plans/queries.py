@@ -191,7 +191,14 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.where("error is null").select(F.concat_ws("#", "source", "chunk_index").alias("id"), "source", "title", "chunk_index", "text", vector.alias("vector"), "parent_id")
 
 
-@query()
+@query(
+    r"""SELECT doc_id, CASE WHEN stamps >= 5 AND stamps >= 0.15 * filled THEN 'transcript' WHEN slides >= 2 THEN 'slides' WHEN CAST(split_part(folded, chr(2), 2) AS INTEGER) >= 2 THEN 'headings' ELSE 'generic' END AS category FROM (
+  SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '\S'))) AS filled, len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*(?:\*\*[^*\n]{1,80}\*\*[ \t]+)?((?:\d{1,2}:)?\d{1,2}:\d{2})[ \t]*$'))) AS stamps,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*<!--\s*Slide number:\s*(\d+)\s*-->[ \t]*$'))) AS slides,
+    list_reduce(l, lambda acc, x: (CASE WHEN split_part(acc, chr(2), 1) = '' THEN regexp_extract(x, '^\s*(`{3,}|~{3,})', 1) WHEN starts_with(ltrim(x, ' ' || chr(9)), split_part(acc, chr(2), 1)) THEN '' ELSE split_part(acc, chr(2), 1) END)
+      || chr(2) || CAST(CAST(split_part(acc, chr(2), 2) AS INTEGER) + (CASE WHEN split_part(acc, chr(2), 1) = '' AND regexp_matches(x, '^#{1,6}[ \t]') THEN 1 ELSE 0 END) AS VARCHAR), chr(2) || '0') AS folded
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"""
+)
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.plans.passages import detect_category
 
