@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import table
@@ -109,12 +109,37 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep: every document placed once or in numbered pieces, no container over its
+    capacity, all but the last piece of a document full."""
+    from passagemill.llm.packing import CAPACITY, pack_documents
+
+    placed = pack_documents(table(spark, sf_dir, "documents"))
+    over = placed.groupBy("container").agg(F.sum("tokens").alias("n")).where(F.col("n") > CAPACITY).count()
+    full = F.coalesce(F.sum(F.when(F.col("tokens") == CAPACITY, 1)), F.lit(0))
+    per = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("last"), full.alias("full"))
+    kept = (F.col("n") == F.col("pieces")) & (F.col("last") == F.col("n") - 1) & (F.col("full") >= F.col("n") - 1)
+    return per.select("doc_id", kept.alias("kept"), F.lit(over).cast("bigint").alias("over"))
+
+
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagemill.llm.splitting import split_documents
 
     return split_documents(table(spark, sf_dir, "documents"))
 
 
+def p10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What splitting must keep: pieces from the first character to the last without a gap, none over
+    the limit."""
+    from passagemill.llm.splitting import LIMIT, split_documents
+
+    docs = table(spark, sf_dir, "documents")
+    order = Window.partitionBy("doc_id").orderBy("piece")
+    pieces = split_documents(docs).select("doc_id", "piece", "start", "end", "tokens").withColumn("gap", F.col("start") > F.lag("end", 1, 0).over(order))
+    per = pieces.groupBy("doc_id").agg(F.max("end").alias("end"), F.max("gap").alias("gap"), F.sum((F.col("tokens") > LIMIT).cast("bigint")).alias("over"))
+    return per.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").select("doc_id", (~F.col("gap") & (F.col("end") == F.col("n"))).alias("kept"), "over")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
@@ -122,6 +147,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # By brute force; the others are tested against definitions on fixtures, since SQL cannot say them.
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 SQL = {
+    "p8_whole": "SELECT doc_id, true AS kept, CAST(0 AS BIGINT) AS over FROM documents",
+    "p10_whole": "SELECT doc_id, true AS kept, CAST(0 AS BIGINT) AS over FROM documents WHERE text <> ''",
     "p2_found": f"""WITH w AS (SELECT DISTINCT id, unnest({_WORDS}) AS w FROM (SELECT DISTINCT id, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL)),
 n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
 j AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id)
